@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestem.llm import terms
+from lodestem.llm import bpe, leaks, terms
 from lodestem.sources.tables import table
 
 
@@ -28,4 +28,12 @@ def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "term", "f", "n_docs", (F.round("llr", 4) + 0.0).alias("llr"), F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_scores)}
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode(table(spark, folder, "documents"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_scores, p7_ids, p8_found)}

@@ -43,9 +43,9 @@ def term_documents(postings: DataFrame, lengths: DataFrame | None = None) -> Dat
     both groupings and the join with the lengths, repeated for each eighth, need no other.
     """
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = usable(postings).withColumn("part", F.pmod(F.hash("term"), F.lit(PARTS)))
-    rows = rows.repartition(n, "doc_id", "part")
-    rows = rows.groupBy("doc_id", "part", "term", "block").agg(F.max("tf").alias("tf"))
+    part = F.pmod(F.hash("term"), F.lit(PARTS)).alias("part")
+    rows = usable(postings).repartition(n, "doc_id", part)
+    rows = rows.groupBy("doc_id", part, "term", "block").agg(F.max("tf").alias("tf"))
     rows = rows.groupBy("doc_id", "part", "term").agg(F.sum("tf").alias("f"))
     if lengths is not None:
         parts = F.array(*[F.lit(i) for i in range(PARTS)])
