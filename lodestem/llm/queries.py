@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestem.llm import bpe, leaks, terms
+from lodestem.llm import bpe, leaks, mainbody, sitelines, terms
 from lodestem.sources.tables import table
 
 
@@ -18,6 +18,15 @@ def p1_frequencies(spark: SparkSession, folder: str) -> DataFrame:
     return terms.term_frequencies(table(spark, folder, "postings")).drop("term_id")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return sitelines.repeated_lines(table(spark, folder, "pages")).where("exact").select("id", "line_no")
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return sitelines.without_repeated(pages, sitelines.repeated_lines(pages))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     scored = terms.characteristic_terms(table(spark, folder, "postings"), table(spark, folder, "doc_meta", "doc_id", "length"))
     return scored.where(F.col("score") >= 0.12).select("doc_id", "term")
@@ -28,6 +37,10 @@ def p3_scores(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", "term", "f", "n_docs", (F.round("llr", 4) + 0.0).alias("llr"), F.round("score", 6).alias("score"))
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mainbody.main_lines(table(spark, folder, "pages"))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -36,4 +49,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p3_found, p3_scores, p7_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p7_ids, p8_found)}
