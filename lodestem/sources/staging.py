@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -23,10 +24,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and the loss of an
-    executor costs no recomputation. Files are removed when the driver's process ends or by :func:`drop_staged`."""
+    executor costs no recomputation. The job's own shuffle files go when it ends, since nothing runs that plan again;
+    the tables are removed when the driver's process ends or by :func:`drop_staged`."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestem-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -44,8 +51,3 @@ def drop_staged() -> None:
 
 
 atexit.register(drop_staged)
-
-
-def rows_of(df: DataFrame) -> int:
-    """Row count of a staged table (a metadata-only scan)."""
-    return df.count()
