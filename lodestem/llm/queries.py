@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestem.llm import bpe, leaks, mainbody, sitelines, terms
+from lodestem.llm import bpe, leaks, mainbody, near, sitelines, terms
 from lodestem.sources.tables import table
 
 
@@ -41,6 +41,16 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.main_lines(table(spark, folder, "pages"))
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = near.similar_pairs(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text", words=3, similarity=0.5)
+    return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near.similar_groups(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text")
+    return groups.withColumnRenamed("id", "doc_id")
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(table(spark, folder, "documents"), "doc_id", "text")
 
@@ -49,4 +59,4 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p7_ids, p8_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p6_found, p6_groups, p7_ids, p8_found)}
