@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestem.llm import bpe, leaks, mainbody, near, sitelines, terms
+from lodestem.llm import bpe, garbled, leaks, mainbody, near, sitelines, terms
 from lodestem.sources.tables import table
 
 
@@ -59,4 +59,12 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p6_found, p6_groups, p7_ids, p8_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.garbled_texts(table(spark, folder, "documents")).select("doc_id")
+
+
+def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return garbled.garbled_texts(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p6_found, p6_groups, p7_ids, p8_found, p9_found, p9_restored)}
