@@ -47,53 +47,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Codes(dict):
+    """Hashes of words, made when first met."""
+
+    def __missing__(self, word: str) -> int:
+        got = self[word] = xxhash.xxh64_intdigest(word)
+        return got
+
+
+#: A shingle is a hash of this many bits: the rest of a 64-bit word numbers the texts of a batch.
+BITS = 55
+_MASK = np.uint64((1 << BITS) - 1)
+
+
 class _Shingler:
-    """Hashed word shingles of many texts at once."""
+    """Distinct hashed word shingles of up to ``BATCH`` texts at once."""
 
     def __init__(self, words: int) -> None:
         self.words = words
-        self.known: dict[str, int] = {}
+        self.known = _Codes()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(text number, shingle) of every run of words; repeated ones too."""
+        """(text number, shingle), in this order."""
         known = self.known
         if len(known) > 1 << 20:
             known.clear()
         codes: list[int] = []
         counts = []
         for t in texts:
-            w = _words(t.lower()) if t else []
+            w = _words(t.lower()) if t else ()
             counts.append(len(w))
-            for x in w:
-                h = known.get(x)
-                if h is None:
-                    h = known[x] = xxhash.xxh64_intdigest(x)
-                codes.append(h)
-        n = np.array(counts, np.int64)
+            codes += [known[x] for x in w]
         h = np.array(codes, np.uint64)
         if len(h) < self.words:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        of = np.repeat(np.arange(len(texts)), n)
+        of = np.repeat(np.arange(len(texts), dtype=np.uint64), np.array(counts, np.int64))
         m = len(h) - self.words + 1
         s = np.zeros(m, np.uint64)
         for k in range(self.words):
-            s = _mix(s + h[k : k + m])
-        inside = of[:m] == of[self.words - 1 :]
-        return of[:m][inside], s[inside]
-
-
-def _sets(of: np.ndarray, shingles: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-    """Distinct (text, shingle) in order of text, weight, shingle; with the rank in the text; and per present text its
-    number, size and signature."""
-    order = np.lexsort((shingles, of) if weight is None else (shingles, weight, of))
-    of, shingles = of[order], shingles[order]
-    keep = np.r_[True, (of[1:] != of[:-1]) | (shingles[1:] != shingles[:-1])] if len(of) else np.empty(0, bool)
-    of, shingles = of[keep], shingles[keep]
-    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+            s = (s + h[k : k + m]) * _A
+            s ^= s >> np.uint64(31)
+        s = (s * _B) >> np.uint64(64 - BITS)
+        both = (of[:m] << np.uint64(BITS) | s)[of[:m] == of[self.words - 1 :]]
+        both.sort()
+        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
+        return (both >> np.uint64(BITS)).astype(np.int64), both & _MASK
+
+
+def _signed(of: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number, size and signature of each text that has a shingle."""
+    if not len(of):
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    starts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
     sizes = np.diff(np.r_[starts, len(of)])
-    signs = _mix(np.add.reduceat(_mix(shingles), starts) + sizes.astype(np.uint64)) if len(of) else np.empty(0, np.uint64)
-    rank = np.arange(len(of)) - np.repeat(starts, sizes)
-    return of, shingles, rank, of[starts], sizes, signs
+    return of[starts], sizes, _mix(np.add.reduceat(_mix(shingles), starts) + sizes.astype(np.uint64))
 
 
 def _survey(df: DataFrame, words: int) -> DataFrame:
@@ -113,7 +120,8 @@ def _survey(df: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 b = whole.slice(start, BATCH)
-                _, shingles, _, at, _, signs = _sets(*shingler(b.column(1).to_pylist()))
+                of, shingles = shingler(b.column(1).to_pylist())
+                at, _, signs = _signed(of, shingles)
                 ids = b.column(0).to_numpy(zero_copy_only=False)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(ids), pa.array(np.zeros(len(ids), np.int8))], names=["a", "b", "kind"])
                 held.append(shingles)
@@ -127,6 +135,21 @@ def _survey(df: DataFrame, words: int) -> DataFrame:
     return df.mapInArrow(run, "a long, b long, kind byte")
 
 
+def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, at most ``ORDERED``, in order, and their counts."""
+    totals = staged(counted.groupBy("a").agg(F.sum("b").alias("n")).where("n > 2"))
+    least, held = 0, 0
+    for r in totals.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
+        held += r["k"]
+        if held > ORDERED:
+            least = r["n"]
+            break
+    top = totals.where(F.col("n") > least).toPandas()
+    keys, counts = top["a"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
 def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``shingle``, ``sign``, ``size``, ``rank``: the prefix of each class of equal sets, once per block of texts."""
     shared = df.sparkSession.sparkContext.broadcast(common)
@@ -138,9 +161,12 @@ def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.nda
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 of, s = shingler(whole.column(1).slice(start, BATCH).to_pylist())
+                _, sizes, signs = _signed(of, s)
                 at = np.minimum(np.searchsorted(keys, s), max(0, len(keys) - 1))
                 weight = np.where(keys[at] == s, counts[at], 0) if len(keys) else np.zeros(len(s), np.int64)
-                of, s, rank, _, sizes, signs = _sets(of, s, weight)
+                order = np.argsort(of.astype(np.uint64) << np.uint64(BITS) | np.minimum(weight, _MASK >> np.uint64(1)).astype(np.uint64), kind="stable")
+                s = s[order]
+                rank = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 if len(told) > 1 << 20:
                     told.clear()
                 new = np.array([not (x in told or told.add(x)) for x in signs.tolist()], bool)
@@ -159,19 +185,23 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
     n = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     share = similarity / (1 + similarity)
 
-    def pairs(sign: np.ndarray, size: np.ndarray, rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Of one shingle, sorted by size: each class with the larger ones within the bound on length."""
-        order = np.lexsort((sign, size))
-        sign, size, rank = sign[order], size[order], rank[order]
-        first = np.r_[True, sign[1:] != sign[:-1]]  # the same class from several blocks
-        sign, size, rank = sign[first], size[first], rank[first]
-        until = np.searchsorted(size, np.floor(size / similarity + 1e-9), "right")
-        width = until - np.arange(len(size)) - 1
-        edges = np.searchsorted(np.cumsum(width), np.arange(0, width.sum() + CHUNK, CHUNK), "left")
-        for x, y in zip(edges[:-1], np.r_[edges[1:-1], len(size)]):
+    def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """Pairs under whole shingles: each class with the not smaller ones of its shingle within the bound on length."""
+        v, sign, size, rank = columns
+        order = np.lexsort((sign, size, v))
+        v, sign, size, rank = v[order], sign[order], size[order].astype(np.int64), rank[order]
+        own = np.r_[True, v[1:] != v[:-1]]
+        keep = own | np.r_[True, sign[1:] != sign[:-1]]  # the same class from several blocks
+        group, sign, size, rank = (np.cumsum(own) - 1)[keep] << 32, sign[keep], size[keep], rank[keep]
+        width = np.searchsorted(group + size, group + np.floor(size / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(size)) - 1
+        total = np.cumsum(width)
+        x = 0
+        while x < len(size):
+            y = max(x + 1, int(np.searchsorted(total, (total[x - 1] if x else 0) + CHUNK, "right")))
             w = width[x:y]
             i = np.repeat(np.arange(x, y), w)
             j = np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w) + i + 1
+            x = y
             need = np.ceil(share * (size[i] + size[j]) - 1e-9)
             ok = np.minimum(size[i] - rank[i], size[j] - rank[j]) >= need - (SHARED - 1)
             i, j, need = i[ok], j[ok], need[ok]
@@ -181,15 +211,6 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[list[np.ndarray]] = []
 
-        def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            v = columns[0]
-            starts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            ends = np.r_[starts[1:], len(v)]
-            many = ends - starts > 1
-            out = [x for s, e in zip(starts[many], ends[many]) for x in pairs(*(c[s:e] for c in columns[1:]))]
-            if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
-
         for b in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             if not len(columns[0]):
@@ -244,10 +265,8 @@ def similar_classes(df: DataFrame, key: str, text: str, words: int = WORDS, simi
     records = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     survey = staged(_survey(records, words))
     classes = survey.where("kind = 0").select(F.col("a").alias("class"), F.col("b").alias("id")).distinct()
-    top = survey.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(ORDERED).toPandas()
-    keys, counts = top["a"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    met = _met(_prefixes(records, words, similarity, (keys[order], counts[order])), similarity)
+    keys, counts = _frequent(survey.where("kind = 1"))
+    met = _met(_prefixes(records, words, similarity, (keys, counts)), similarity)
     candidates = staged(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need")).select("a", "b"))
     wanted = staged(candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct().join(classes, "class").groupBy("class").agg(F.min("id").alias("id")))
     ids = F.broadcast(wanted.select("id", "class")) if wanted.count() <= BROADCAST_IDS else wanted.select("id", "class")
@@ -266,7 +285,7 @@ def _of_class(df: DataFrame, words: int) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 b = whole.slice(start, BATCH)
-                _, _, _, at, _, signs = _sets(*shingler(b.column(0).to_pylist()))
+                at, _, signs = _signed(*shingler(b.column(0).to_pylist()))
                 own = b.column(1).to_numpy(zero_copy_only=False)[at] == signs.view(np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at[own])), b.column(0).take(pa.array(at[own]))], names=["class", "text"])
 
