@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -51,3 +53,20 @@ def drop_staged() -> None:
 
 
 atexit.register(drop_staged)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package's source to the session's workers, once per application, wherever they were started."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="lodestem-code-")  # the driver's own; Spark serves the file to the workers
+    atexit.register(shutil.rmtree, folder, True)
+    copy = os.path.join(folder, "code", os.path.basename(package))
+    shutil.copytree(package, copy, ignore=shutil.ignore_patterns("__pycache__"))
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "lodestem"), "zip", os.path.dirname(copy)))
