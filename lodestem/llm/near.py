@@ -30,8 +30,9 @@ from lodestem.sources.staging import staged
 WORDS, SIMILARITY = 5, 0.8
 #: Common prefix shingles required of a candidate.
 SHARED = 4
-#: Shingles whose counts are handed to all tasks (16 bytes each).
-ORDERED = 1_000_000
+#: Shingles whose counts are handed to all tasks (16 bytes each), and the slots each task keeps them in by their first
+#: bits. A rare shingle that shares a slot with a frequent one is ordered as if frequent, in every text alike.
+ORDERED, SLOT_BITS = 1_000_000, 22
 #: Verification sends wanted ids to the scan up to this many (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Pairs made at once within a task, and texts handled at once.
@@ -157,15 +158,18 @@ def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.nda
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(words)
         keys, counts = shared.value
+        table = np.zeros(1 << SLOT_BITS, np.uint64)
+        np.maximum.at(table, keys >> np.uint64(BITS - SLOT_BITS), np.minimum(counts, (1 << (BITS - 32)) - 1).astype(np.uint64))
         told: set[int] = set()
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 of, s = shingler(whole.column(1).slice(start, BATCH).to_pylist())
                 _, sizes, signs = _signed(of, s)
-                at = np.minimum(np.searchsorted(keys, s), max(0, len(keys) - 1))
-                weight = np.where(keys[at] == s, counts[at], 0) if len(keys) else np.zeros(len(s), np.int64)
-                order = np.argsort(of.astype(np.uint64) << np.uint64(BITS) | np.minimum(weight, _MASK >> np.uint64(1)).astype(np.uint64), kind="stable")
-                s = s[order]
+                weight = table[s >> np.uint64(BITS - SLOT_BITS)]
+                # sorted by text and weight; the place, which is in the order of shingles, comes along in the low bits
+                order = of.astype(np.uint64) << np.uint64(BITS) | weight << np.uint64(32) | np.arange(len(s), dtype=np.uint64)
+                order.sort()
+                s = s[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)]
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 if len(told) > 1 << 20:
                     told.clear()
@@ -237,14 +241,14 @@ def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
             w = _words(t.lower())
             return set(zip(*(w[k:] for k in range(words))))
 
+        known: dict[int, set[tuple[str, ...]]] = {}
         for b in batches:
             a, c, ta, tb = (x.to_pylist() for x in b.columns)
             out: tuple[list, list, list] = ([], [], [])
-            last, own = None, set()
             for x, y, t, u in zip(a, c, ta, tb):
-                if t is not last:
-                    last, own = t, shingles(t)
-                other = shingles(u)
+                if len(known) > 4096:
+                    known.clear()
+                own, other = (known.get(k) or known.setdefault(k, shingles(v)) for k, v in ((x, t), (y, u)))
                 both = len(own & other)
                 j = both / (len(own) + len(other) - both)
                 if j >= similarity - 1e-12:
