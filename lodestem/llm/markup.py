@@ -80,26 +80,32 @@ class Node(NamedTuple):
 
 
 def tree(source: str) -> tuple[list[Node], list[Leaf]]:
-    """Elements and runs of text of a page. End tags without a start are ignored; what never ends, ends with the page."""
+    """Elements and runs of text of a page. End tags without a start are ignored; what never ends, ends with the page,
+    but a block with text on the line it starts on, and on no other, ends before the next block tag of a later line."""
     text = without_hidden(source)
     nodes: list[Node] = [Node("", "", -1)]
     leaves: list[Leaf] = []
     stack = [0]
     blocks = [0]  # for each open element, the nearest that is not inline
+    begun = [0]  # line each element starts on
+    short: dict[int, bool] = {}  # blocks with text: whether on their first line only
     links = 0
     line = at = 0
 
     def runs(a: int, b: int) -> None:
         nonlocal line
         part = text[a:b]
+        block = blocks[-1]
         if "\n" not in part:
             if part and not part.isspace():
-                leaves.append(Leaf(line, part, blocks[-1], links > 0))
+                leaves.append(Leaf(line, part, block, links > 0))
+                short[block] = short.get(block, True) and begun[block] == line
             return
         pieces = part.split("\n")
         for k, x in enumerate(pieces):
             if x and not x.isspace():
-                leaves.append(Leaf(line + k, x, blocks[-1], links > 0))
+                leaves.append(Leaf(line + k, x, block, links > 0))
+                short[block] = short.get(block, True) and begun[block] == line + k
         line += len(pieces) - 1
 
     for m in _ELEMENT.finditer(text):
@@ -112,6 +118,11 @@ def tree(source: str) -> tuple[list[Node], list[Leaf]]:
             line += m[0].count("\n")
             continue
         name = name.lower()
+        if name not in INLINE and short.get(blocks[-1]) and begun[blocks[-1]] < line and blocks[-1]:
+            k = stack.index(blocks[-1])
+            for x in stack[k:]:
+                links -= nodes[x].tag == "a"
+            del stack[k:], blocks[k:]
         if m[1]:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == name:
@@ -128,6 +139,7 @@ def tree(source: str) -> tuple[list[Node], list[Leaf]]:
                 for _, value in _NAMED.findall(m[3]):
                     sign += "." + re.sub(r"\d+", "#", value.lower())
             nodes.append(Node(name, sign, stack[-1]))
+            begun.append(line)
             stack.append(len(nodes) - 1)
             blocks.append(blocks[-1] if name in INLINE else len(nodes) - 1)
             links += name == "a"
