@@ -192,6 +192,8 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
     def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs under whole shingles: each class with the not smaller ones of its shingle within the bound on length."""
         v, sign, size, rank = columns
+        if not len(v):
+            return
         order = np.lexsort((sign, size, v))
         v, sign, size, rank = v[order], sign[order], size[order].astype(np.int64), rank[order]
         own = np.r_[True, v[1:] != v[:-1]]
