@@ -33,11 +33,11 @@ CHAINS: tuple[tuple[str, str], ...] = (
     ("cp1250", "cp1252"), ("iso8859-2", "cp1252"), ("cp1253", "cp1252"), ("iso8859-7", "cp1252"), ("cp1253", "cp1251"), ("shift_jis", "cp1252"), ("euc_jp", "cp1252"),
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1252", "cp1251"), ("cp1252", "cp1250"), ("cp1252", "koi8-r"),
 )
-#: Log-odds of a chain against clean text, and of the restored token against the garbled one, from which a token of a
-#: single-byte chain counts.
-SURE, GAIN = 6.0, 8.0
-#: A single-byte chain needs so many distinct tokens in a document, or one of this log-odds.
-SUPPORT, ALONE = 2, 25.0
+#: Log-odds of a chain against clean text, and of the restored token against the garbled one (low, as the sample holds
+#: garbled tokens too), from which a token of a single-byte chain counts.
+SURE, GAIN = 12.0, 3.0
+#: Such a chain needs so many distinct tokens in a document, or one that is surer than this.
+SUPPORT, ALONE = 2, (24.0, 3.0)
 
 _TOKENS = re.compile(r"[^ \t\r\n]+").findall
 _RUNS = re.compile(r"[^\x00-\x7f]+")
@@ -122,8 +122,8 @@ class Classifier:
         return self.weights[_bigrams(text)].sum(0)
 
     def judge(self, token: str) -> tuple[int, str | None, float] | None:
-        """(chain, restored, log-odds) of a garbled token; chain -1 and None for one whose original is lost; None for
-        a clean one."""
+        """(chain, restored, certainty) of a garbled token; chain -1 and None for one whose original is lost; None for
+        a clean one. Certainty is 2 for strictly decoded or lost ones, 1 or 0 for a sure or a likely single-byte chain."""
         if token in self.known:
             return self.known[token]
         if len(self.known) > 1 << 19:
@@ -138,13 +138,13 @@ class Classifier:
             if CHAINS[k][0] == "utf-8":  # multi-byte sequences that decode strictly are no chance
                 back = restore(token, k)
                 if back is not None and (s[k + 1] > s[0] or self.scores(back)[0] > s[0]):
-                    return k, back, 1e3
+                    return k, back, 2.0
         # parts of a token: signs of its own beside a garbled run
         for k in ranked:
             if CHAINS[k][0] == "utf-8":
                 done = _RUNS.sub(lambda m, k=k: self._run(m[0], k), token)
                 if done != token:
-                    return k, done, 1e3
+                    return k, done, 2.0
         for k in ranked[:6]:
             odds = float(s[k + 1] - s[0])
             if odds < SURE or CHAINS[k][0] == "utf-8" or not any(c.isalpha() for c in token):
@@ -154,9 +154,9 @@ class Classifier:
                 continue
             gain = float(self.scores(back)[0] - s[0])
             if gain >= GAIN:
-                return k, back, min(odds, gain)
+                return k, back, float(odds >= ALONE[0] and gain >= ALONE[1])
         if _LOST.search(token) or _CONTROL.search(token):
-            return -1, None, 1e3
+            return -1, None, 2.0
         return None
 
     def _run(self, run: str, chain: int) -> str:
@@ -196,7 +196,7 @@ def repaired(text: str, model: Classifier) -> tuple[bool, str, int, bool]:
             continue
         found.append((token, got[1], got[0], got[2]))
     support = Counter(k for _, _, k, _ in found)
-    found = [x for x in found if x[3] >= ALONE or support[x[2]] >= SUPPORT]
+    found = [x for x in found if x[3] or support[x[2]] >= SUPPORT]
     if not found:
         return False, text, 0, True
     new = {}
@@ -204,7 +204,7 @@ def repaired(text: str, model: Classifier) -> tuple[bool, str, int, bool]:
     for token, back, _, _ in found:
         for _ in range(3):  # garbled more than once
             again = model.judge(back) if back is not None and not back.isascii() else None
-            if again is None or again[1] is None or again[2] < 1e3:
+            if again is None or again[1] is None or again[2] < 2:
                 break
             back = again[1]
         whole = whole and back is not None and "�" not in back
