@@ -91,7 +91,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, s
     own = staged(own.select(F.col("key").alias("item_id"), "at", "words", "n_words").distinct().withColumn("shingle_id", F.xxhash64("words")))
     documents = documents.where(F.col("doc_id").isNotNull())
     distinct = own.select("words", "shingle_id").distinct()
-    if own.count() <= broadcast_shingles:
+    few = own.count() <= broadcast_shingles
+    if few:
         wanted = {r[0]: r[1] for r in distinct.collect()}
         places = _places(documents, "doc_id", "text", shingle, wanted)
     else:
@@ -109,7 +110,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, window: int = WINDOW, s
     )  # at most per_window members
     windows = windows.where(F.col("prefix.n") > 0).select("item_id", "q", F.col("prefix.shingle_id").alias("shingle_id"), F.col("prefix.offset").alias("offset"), F.col("all.shingle_id").alias("needed"))
 
-    candidates = places.join(windows, "shingle_id").withColumn("start", F.col("at") - F.col("offset"))
+    # windows are at most as many as the items' shingles; while these are few, no place is moved, however hot its shingle
+    candidates = places.join(F.broadcast(windows) if few else windows, "shingle_id").withColumn("start", F.col("at") - F.col("offset"))
     candidates = candidates.where((F.col("start") >= 0) & (F.col("start") + window <= F.col("n_words"))).select("doc_id", "item_id", "q", "start", "needed").distinct()
     need = candidates.select("doc_id", "item_id", "q", "start", F.posexplode("needed").alias("offset", "shingle_id")).withColumn("at", F.col("start") + F.col("offset"))
     held = need.join(places.select("doc_id", "at", "shingle_id").distinct(), ["doc_id", "at", "shingle_id"])
