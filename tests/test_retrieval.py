@@ -111,3 +111,16 @@ def test_invariants(spark):
     assert index.postings.agg(F.sum("tf")).first()[0] == index.doc_meta.agg(F.sum("length")).first()[0]
     assert index.vocab.where(F.col("df") > index.n_docs).count() == 0
     assert index.postings.where(F.size("positions") != F.col("tf")).count() == 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from lodestem.__main__ import main
+    from tests.conftest import DATA
+
+    where = str(tmp_path / "index")
+    main(["build", "--documents", f"{DATA}/sf0.001/documents.parquet", "--index", where], spark)
+    assert "documents indexed" in capsys.readouterr().out
+    for args in (["stats"], ["lookup", "reader"], ["search", "--b", "0.5", "redaers"]):
+        main([args[0], "--index", where, *args[1:]], spark)
+    out = capsys.readouterr().out
+    assert "--- tfidf, repaired" in out and "--- bm25" in out
