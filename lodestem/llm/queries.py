@@ -41,6 +41,11 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return mainbody.main_lines(table(spark, folder, "pages"))
 
 
+def p4_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return sitelines.only_lines(pages, mainbody.main_lines(pages))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     pairs = near.similar_pairs(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text", words=3, similarity=0.5)
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
@@ -67,4 +72,4 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.garbled_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p6_found, p6_groups, p7_ids, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p4_text, p6_found, p6_groups, p7_ids, p8_found, p9_found, p9_restored)}
