@@ -8,7 +8,7 @@ windows around pivots would send nearly every record to every region (figures in
    data, come last by their counts, all others before them by hash. Any order gives the same result.
 3. Two sets that are similar enough share at least ``SHARED`` shingles within the prefixes of that order whose length
    follows from the threshold. Prefixes are spread by shingle; pairs that meet under one shingle are cut by the bounds on
-   length and on position, and counted.
+   length and on position, and counted. A frequent shingle's classes are paired in several places.
 4. Pairs with enough common prefix shingles are verified on the texts themselves.
 """
 
@@ -33,6 +33,8 @@ SHARED = 4
 #: Shingles whose counts are handed to all tasks (16 bytes each), and the slots each task keeps them in by their first
 #: bits. A rare shingle that shares a slot with a frequent one is ordered as if frequent, in every text alike.
 ORDERED, SLOT_BITS = 1_000_000, 22
+#: Classes of one shingle that are paired in one place, about.
+SPLIT = 5000
 #: Verification sends wanted ids to the scan up to this many (8 bytes each); beyond it the texts are shuffled.
 BROADCAST_IDS = 2_000_000
 #: Pairs made at once within a task, and texts handled at once.
@@ -152,8 +154,12 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``shingle``, ``sign``, ``size``, ``rank``: the prefix of each class of equal sets, once per block of texts."""
-    shared = df.sparkSession.sparkContext.broadcast(common)
+    """``cell``, ``side``, ``sign``, ``size``, ``rank``: the prefix of each class of equal sets, once per block of texts.
+
+    A cell is a shingle. One counted more than ``SPLIT`` times is cut: its classes fall into parts, each pair of parts
+    is a cell of its own, and ``side`` tells the two (1, 2) apart; 0 where all pairs of a cell count.
+    """
+    shared, split = df.sparkSession.sparkContext.broadcast(common), SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(words)
@@ -169,19 +175,27 @@ def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.nda
                 # sorted by text and weight; the place, which is in the order of shingles, comes along in the low bits
                 order = of.astype(np.uint64) << np.uint64(BITS) | weight << np.uint64(32) | np.arange(len(s), dtype=np.uint64)
                 order.sort()
-                s = s[(order & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+                at = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                s, weight = s[at], weight[at].astype(np.int64)
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 if len(told) > 1 << 20:
                     told.clear()
                 new = np.array([not (x in told or told.add(x)) for x in signs.tolist()], bool)
                 length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + SHARED
                 keep = (rank < np.repeat(length, sizes)) & np.repeat(new, sizes)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(s[keep].view(np.int64)), pa.array(np.repeat(signs, sizes)[keep].view(np.int64)), pa.array(np.repeat(sizes, sizes)[keep].astype(np.int32)), pa.array(rank[keep].astype(np.int32))],
-                    names=["shingle", "sign", "size", "rank"],
-                )
+                cell, sign, size, rank, parts = s[keep], np.repeat(signs, sizes)[keep], np.repeat(sizes, sizes)[keep], rank[keep], weight[keep] // split + 1
+                side = np.zeros(len(cell), np.int8)
+                if (parts > 1).any():
+                    row = np.repeat(np.arange(len(cell)), parts)
+                    other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+                    cell, sign, size, rank, parts = (x[row] for x in (cell, sign, size, rank, parts))
+                    own = (_mix(sign) % parts.astype(np.uint64)).astype(np.int64)
+                    side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
+                    pair = (np.minimum(own, other) << 24 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1)
+                    cell = np.where(parts > 1, _mix(cell ^ _mix(pair)), cell)
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(side), pa.array(sign.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(rank.astype(np.int32))], names=["cell", "side", "sign", "size", "rank"])
 
-    return df.mapInArrow(run, "shingle long, sign long, size int, rank int")
+    return df.mapInArrow(run, "cell long, side byte, sign long, size int, rank int")
 
 
 def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
@@ -190,15 +204,15 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
     share = similarity / (1 + similarity)
 
     def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        """Pairs under whole shingles: each class with the not smaller ones of its shingle within the bound on length."""
-        v, sign, size, rank = columns
+        """Pairs within whole cells: each class with the not smaller ones of its cell within the bound on length."""
+        v, side, sign, size, rank = columns
         if not len(v):
             return
         order = np.lexsort((sign, size, v))
-        v, sign, size, rank = v[order], sign[order], size[order].astype(np.int64), rank[order]
+        v, side, sign, size, rank = v[order], side[order], sign[order], size[order].astype(np.int64), rank[order]
         own = np.r_[True, v[1:] != v[:-1]]
         keep = own | np.r_[True, sign[1:] != sign[:-1]]  # the same class from several blocks
-        group, sign, size, rank = (np.cumsum(own) - 1)[keep] << 32, sign[keep], size[keep], rank[keep]
+        group, side, sign, size, rank = (np.cumsum(own) - 1)[keep] << 32, side[keep], sign[keep], size[keep], rank[keep]
         width = np.searchsorted(group + size, group + np.floor(size / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(size)) - 1
         total = np.cumsum(width)
         x = 0
@@ -210,6 +224,7 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
             x = y
             need = np.ceil(share * (size[i] + size[j]) - 1e-9)
             ok = np.minimum(size[i] - rank[i], size[j] - rank[j]) >= need - (SHARED - 1)
+            ok &= (side[i] == 0) | (side[i] != side[j])
             i, j, need = i[ok], j[ok], need[ok]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sign[i], sign[j])), pa.array(np.maximum(sign[i], sign[j])), pa.array(np.minimum(need, SHARED).astype(np.int8))], names=["a", "b", "need"])
@@ -232,7 +247,7 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
         if rest:
             yield from give([np.concatenate(x) for x in zip(*rest)])
 
-    return prefixes.repartition(n, "shingle").sortWithinPartitions("shingle").mapInArrow(run, "a long, b long, need byte")
+    return prefixes.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, need byte")
 
 
 def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:

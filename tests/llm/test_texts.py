@@ -120,10 +120,12 @@ def test_similar_pairs(spark, words, least):
     assert len(got) == len(set(got)) and set(got) == similar(rows, words, least)
 
 
-def test_chunks_and_few_ordered(spark, monkeypatch):
+@pytest.mark.parametrize("split", [near.SPLIT, 7])
+def test_chunks_and_few_ordered(spark, monkeypatch, split):
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(12))) for i in range(80)]
-    monkeypatch.setattr(near, "ORDERED", 3)
+    monkeypatch.setattr(near, "ORDERED", 3 if split > 7 else 100)
+    monkeypatch.setattr(near, "SPLIT", split)
     monkeypatch.setattr(near, "BROADCAST_IDS", 0)
     got = {(r["id_a"], r["id_b"]) for r in near.similar_pairs(docs(spark, rows), "doc_id", "text", 1, 0.7).collect()}
     assert got == similar(rows, 1, 0.7)
