@@ -154,10 +154,11 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``cell``, ``side``, ``sign``, ``size``, ``rank``: the prefix of each class of equal sets, once per block of texts.
+    """``cell``, ``sign``, ``place``: the prefix of each class of equal sets, once per block of texts. ``place`` holds
+    the set's size, the shingle's rank and a side, from high to low bits, so that it sorts by size.
 
     A cell is a shingle. One counted more than ``SPLIT`` times is cut: its classes fall into parts, each pair of parts
-    is a cell of its own, and ``side`` tells the two (1, 2) apart; 0 where all pairs of a cell count.
+    is a cell of its own, and the side tells the two (1, 2) apart; 0 where all pairs of a cell count.
     """
     shared, split = df.sparkSession.sparkContext.broadcast(common), SPLIT
 
@@ -184,18 +185,19 @@ def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.nda
                 length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + SHARED
                 keep = (rank < np.repeat(length, sizes)) & np.repeat(new, sizes)
                 cell, sign, size, rank, parts = s[keep], np.repeat(signs, sizes)[keep], np.repeat(sizes, sizes)[keep], rank[keep], weight[keep] // split + 1
-                side = np.zeros(len(cell), np.int8)
+                side = np.zeros(len(cell), np.int64)
                 if (parts > 1).any():
                     row = np.repeat(np.arange(len(cell)), parts)
                     other = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
                     cell, sign, size, rank, parts = (x[row] for x in (cell, sign, size, rank, parts))
                     own = (_mix(sign) % parts.astype(np.uint64)).astype(np.int64)
-                    side = np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)
+                    side = np.where(own == other, 0, np.where(own < other, 1, 2))
                     pair = (np.minimum(own, other) << 24 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1)
                     cell = np.where(parts > 1, _mix(cell ^ _mix(pair)), cell)
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(side), pa.array(sign.view(np.int64)), pa.array(size.astype(np.int32)), pa.array(rank.astype(np.int32))], names=["cell", "side", "sign", "size", "rank"])
+                place = size << 34 | rank << 2 | side
+                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(sign.view(np.int64)), pa.array(place)], names=["cell", "sign", "place"])
 
-    return df.mapInArrow(run, "cell long, side byte, sign long, size int, rank int")
+    return df.mapInArrow(run, "cell long, sign long, place long")
 
 
 def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
@@ -205,14 +207,15 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
 
     def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs within whole cells: each class with the not smaller ones of its cell within the bound on length."""
-        v, side, sign, size, rank = columns
+        v, sign, place = columns
         if not len(v):
             return
-        order = np.lexsort((sign, size, v))
-        v, side, sign, size, rank = v[order], side[order], sign[order], size[order].astype(np.int64), rank[order]
+        order = np.lexsort((sign, place >> 34, v))
+        v, sign, place = v[order], sign[order], place[order]
         own = np.r_[True, v[1:] != v[:-1]]
         keep = own | np.r_[True, sign[1:] != sign[:-1]]  # the same class from several blocks
-        group, side, sign, size, rank = (np.cumsum(own) - 1)[keep] << 32, side[keep], sign[keep], size[keep], rank[keep]
+        group, sign, place = (np.cumsum(own) - 1)[keep] << 32, sign[keep], place[keep]
+        size, rank, side = place >> 34, place >> 2 & 0xFFFFFFFF, place & 3
         width = np.searchsorted(group + size, group + np.floor(size / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(size)) - 1
         total = np.cumsum(width)
         x = 0
