@@ -108,7 +108,7 @@ def _signed(of: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _survey(df: DataFrame, words: int) -> DataFrame:
     """``kind`` 0: signature and id of every record with a set; ``kind`` 1: a shingle and its count in a block of
-    texts, where it occurs more than once there."""
+    texts, where it occurs more than twice there (rarer ones need no place in the order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(words)
@@ -116,7 +116,7 @@ def _survey(df: DataFrame, words: int) -> DataFrame:
 
         def counted() -> pa.RecordBatch:
             v, c = np.unique(np.concatenate(held), return_counts=True)
-            v, c = v[c > 1], c[c > 1]
+            v, c = v[c > 2], c[c > 2]
             return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c), pa.array(np.ones(len(v), np.int8))], names=["a", "b", "kind"])
 
         size = 0
@@ -140,7 +140,7 @@ def _survey(df: DataFrame, words: int) -> DataFrame:
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, at most ``ORDERED``, in order, and their counts."""
-    totals = staged(counted.groupBy("a").agg(F.sum("b").alias("n")).where("n > 2"))
+    totals = staged(counted.groupBy("a").agg(F.sum("b").alias("n")))
     least, held = 0, 0
     for r in totals.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
         held += r["k"]
@@ -208,6 +208,9 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
     def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs within whole cells: each class with the not smaller ones of its cell within the bound on length."""
         v, sign, place = columns
+        alike = v[1:] == v[:-1]
+        shared = np.r_[alike, False] | np.r_[False, alike] if len(v) else np.empty(0, bool)
+        v, sign, place = v[shared], sign[shared], place[shared]
         if not len(v):
             return
         order = np.lexsort((sign, place >> 34, v))
