@@ -75,6 +75,14 @@ def test_near_lines_of_one_form(spark):
     assert len(repeated_lines(table(spark, rows), min_pages=100).collect()) == 24
 
 
+def test_unlike_lines_of_names_are_kept(spark):
+    """Headlines that are names alone, or names after a common word, are no repeated line."""
+    letter = "abcdefghijklmnopqrstuvwxyz"
+    headlines = ["Die Türme, Lun{} Kroul{}", "Die Wörter – Quen{} Sarim{}", "Journey to the old Vale{} Tarn{}"]
+    rows = [(i, f"http://s.example/{i}", "\n".join(f"<h1>{h.format(letter[i] * 4, letter[25 - i] * 3)}</h1>" for h in headlines)) for i in range(26)]
+    assert repeated_lines(table(spark, rows)).count() == 0
+
+
 def test_no_lines(spark):
     assert repeated_lines(table(spark, [])).count() == 0 == main_lines(table(spark, [])).count()
 
