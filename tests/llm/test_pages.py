@@ -83,6 +83,16 @@ def test_unlike_lines_of_names_are_kept(spark):
     assert repeated_lines(table(spark, rows)).count() == 0
 
 
+def test_near_lines_in_fragments(spark):
+    """A notice that varies by a lower-case word: no form stands on many pages, all together do."""
+    words = ["amber", "bitter", "copper", "distant", "early", "famous", "gentle", "hollow", "inner", "jolly", "keen", "lucky"]
+    notice = "<p>you are reading a {} entry of our open encyclopedia, which anyone may copy, print and send on</p>"
+    rows = [(i, f"http://s.example/{i}", notice.format(words[i % 12])) for i in range(36)]
+    other = [(100 + i, f"http://t.example/{i}", notice.format(words[i % 12])) for i in range(12)]
+    got = repeated_lines(table(spark, rows + other).repartition(3), min_pages=100)
+    assert found(got, "id", "line_no") == [(i, 0) for i in range(36)]
+
+
 def test_no_lines(spark):
     assert repeated_lines(table(spark, [])).count() == 0 == main_lines(table(spark, [])).count()
 
