@@ -311,8 +311,10 @@ def _seeds(spark, folder):
 
 
 def crawl_bfs(spark, folder):
-    """Crawl of the stored pages from the three first, all domains."""
-    pages, _ = cr.crawl(spark, cr.CrawlConfig(_seeds(spark, folder)), cr.table_fetcher(table(spark, folder, "pages", "url", "html")))
+    """Crawl of the stored pages from the three first, all domains, as far as links lead."""
+    stored = table(spark, folder, "pages", "url", "html")
+    config = cr.CrawlConfig(_seeds(spark, folder), max_pages=max(1, stored.count()))
+    pages, _ = cr.crawl(spark, config, cr.table_fetcher(stored))
     return pages.select("id", "url", "title")
 
 

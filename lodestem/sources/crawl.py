@@ -19,6 +19,8 @@ PAGES = "id long, url string, title string, html string, crawled_at timestamp"
 LINKS = "from_page_id long, to_url string"
 #: What a fetcher gives for each asked url; ``final_url`` differs after redirects.
 FETCHED = "url string, final_url string, status int, content_type string, html string"
+#: Pages whose links are numbered in one place, a power of two.
+RUN = 1024
 Fetcher = Callable[[DataFrame], DataFrame]
 
 
@@ -43,7 +45,8 @@ def table_fetcher(pages: DataFrame) -> Fetcher:
         (F.col("status") if "status" in has else F.lit(200)).cast("int").alias("status"),
         (F.col("content_type") if "content_type" in has else F.lit("text/html")).alias("content_type"),
         F.coalesce("html", F.lit("")).alias("html"),
-    ).dropDuplicates(["url"])
+    )
+    stored = staged(stored.dropDuplicates(["url"]))  # read at every level
     return lambda asked: asked.select("url").join(stored, "url")
 
 
@@ -99,6 +102,17 @@ def robots_allow(url: Column, status: Column, body: Column, agent: str) -> Colum
     return allow(url, status.cast("double"), body)
 
 
+def _numbered(got: DataFrame, saved: int) -> DataFrame:
+    """``got`` with ``id``, its number by rank from ``saved`` + 1 on. Ranks are numbered within the links of every
+    ``RUN`` pages, and these runs (one row each) are added up, so no task orders a level."""
+    run = F.shiftright("rank", 24 + RUN.bit_length() - 1)
+    runs = got.groupBy(run.alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    before = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("before"))
+    slim = got.select("final", "rank", run.alias("run"))
+    slim = slim.withColumn("k", F.row_number().over(Window.partitionBy("run").orderBy("rank", "final"))).join(before, "run")
+    return got.drop("rank").join(slim.select("final", (F.col("before") + F.col("k") + F.lit(saved)).cast("long").alias("id")), "final")
+
+
 def crawl(spark: SparkSession, config: CrawlConfig, fetch: Fetcher, robots: DataFrame | None = None, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first crawl: (pages, links), in the shapes of ``PAGES`` and ``LINKS``.
 
@@ -132,12 +146,11 @@ def crawl(spark: SparkSession, config: CrawlConfig, fetch: Fetcher, robots: Data
         got = got.join(other, "final", "left").where((F.col("final") == F.col("url")) | F.col("old").isNull())
         if known is not None:
             got = got.join(known.withColumnRenamed("url", "final"), "final", "left_anti")
-        got = got.groupBy("final").agg(F.min(F.struct("rank", "url", "html")).alias("p")).select("final", "p.rank", "p.url", "p.html")
-        # the cut keeps at most max_pages rows, so the numbering below is bounded by it
-        level = got.orderBy("rank").limit(config.max_pages - saved).withColumn("facts", html_facts("html"))
+        got = staged(got.groupBy("final").agg(F.min(F.struct("rank", "url", "html")).alias("p")).select("final", "p.rank", "p.html"))
+        level = _numbered(got, saved).where(F.col("id") <= config.max_pages).withColumn("facts", html_facts("html"))
         level = staged(
             level.select(
-                (F.row_number().over(Window.orderBy("rank")) + F.lit(saved)).cast("long").alias("id"),
+                "id",
                 F.col("final").alias("url"),
                 F.coalesce(F.col("facts.title"), F.col("url")).alias("title"),
                 "html",

@@ -33,6 +33,15 @@ def test_order_links_and_cap(spark):
     assert tuple(cr.describe_crawl(pages, links).first()) == (4, 6)
 
 
+def test_registered_crawl_has_no_cap(spark, tmp_path):
+    from lodestem.plans.queries import crawl_bfs
+
+    rows = [(1, H + "/0", page(*(f"/{i}" for i in range(1, 2300))))] + [(i + 1, f"{H}/{i}", page("/2400") if i == 2299 else page()) for i in [*range(1, 2300), 2400]]
+    spark.createDataFrame(rows, "id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((r["id"], r["url"]) for r in crawl_bfs(spark, str(tmp_path)).select("id", "url").collect())
+    assert got == [(i + 1, f"{H}/{i}") for i in range(2300)] + [(2301, f"{H}/2400")]
+
+
 def test_redirect_and_type(spark):
     assert order(run(spark, site(spark, [("/c", page(), "/b", 200, "text/html")]))[0]) == ["/a", "/b", "/d"]
     assert order(run(spark, site(spark, [("/d", page(), None, 200, "image/png")]))[0]) == ["/a", "/b", "/c"]
