@@ -219,7 +219,7 @@ def _typos(spark):
 
 def levenshtein_pairs(spark, folder):
     vocab = _index(spark, folder).vocab.select("term")
-    near = vocab.join(F.broadcast(_typos(spark)), F.abs(F.length("term") - F.length("word")) <= 2)
+    near = vocab.join(F.broadcast(_typos(spark)), F.abs(F.length("term") - F.length("word")) <= 3)
     return near.select("word", "term", F.levenshtein("word", "term").alias("distance")).where("distance <= 3")
 
 
