@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestem.llm import bpe, garbled, leaks, mainbody, near, sitelines, terms
+from lodestem.sources.staging import staged
 from lodestem.sources.tables import table
 
 
@@ -52,8 +53,12 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
-    groups = near.similar_groups(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text")
-    return groups.withColumnRenamed("id", "doc_id")
+    """Every page with its group, by the whole text of its article; a page without like ones is a group of its own."""
+    pages = table(spark, folder, "pages", "id", "url", "html")
+    articles = staged(sitelines.only_lines(pages, mainbody.main_lines(pages)))
+    groups = near.similar_groups(articles, "id", "text")
+    every = articles.where(F.col("id").isNotNull()).select("id").distinct().join(groups, "id", "left")
+    return every.select(F.col("id").alias("doc_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
