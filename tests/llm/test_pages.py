@@ -3,8 +3,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestem.llm import markup
-from lodestem.llm.mainbody import content_lines, main_lines
+from pyspark.sql import functions as F
+
+from lodestem.llm import mainbody, markup
+from lodestem.llm.mainbody import main_lines, page_paths
 from lodestem.llm.minhash import signatures
 from lodestem.llm.sitelines import masked, only_lines, repeated_lines, without_repeated
 
@@ -114,21 +116,65 @@ PAGE = """<html><head><title>Small valley of Aron - Site</title></head><body>
 </body></html>"""
 
 
-def test_content_lines():
-    headline, lines = content_lines(PAGE)
-    assert headline == "smallvalleyofaron" and [n for n, _ in lines] == [4, 6, 7, 8, 9, 10]
-    assert content_lines("") == ("", []) == content_lines("<br>")
-    assert [n for n, _ in content_lines(PAGE[: PAGE.index("</div>\n<aside")])[1]] == [4, 6, 7, 8, 9, 10]  # no end
+def article(i, prompt="<p>Tell a friend about our site, now.</p>", host="http://s.example/"):
+    """A page of one template whose article is its own; lines 6 to 12 hold the article and, on line 9, a prompt."""
+    words = np.random.default_rng(i).permutation([a + b for a in ("ka", "lo", "mi", "ru", "te", "vo", "sa") for b in ("nar", "bel", "dim", "fos", "gul")]).tolist()
+    say = lambda k, n: " ".join(words[(k * 5 + j) % 35] for j in range(n)).capitalize()
+    lines = [
+        f"<html><head><title>{say(0, 4)} - Site</title></head><body>", "<p>We use cookies. Accept all, or choose.</p>", '<div class="menu">', '<li><a href="/a">Home</a></li>', '<li><a href="/b">Help</a></li></div>', '<div class="post">',
+        f"<h1>{say(0, 4)}</h1>", f"<p>{say(1, 12)}, {say(2, 9)}. {say(3, 14)}.</p>", f"<p>{say(4, 11)}, <a href='/x'>{say(5, 2)}</a>. {say(6, 9)}.</p>", prompt, f"<li>{say(2, 8)}, {say(1, 5)}.</li>", f"<table><tr><td>{say(3, 5)}</td><td>12, {say(4, 3)}.</td></tr></table>", f"<p>{say(6, 10)}. {say(0, 11)}, {say(5, 5)}.</p>",
+        "</div>", f'<aside><div class="r3"><i>reader{i}</i>: {say(5, 9)}.</div></aside>', "<footer><p>All rights reserved, 1999.</p></footer>", "</body></html>",
+    ]
+    return host + str(i), "\n".join(lines)
+
+
+ARTICLE = [6, 7, 8, 10, 11, 12]
+
+
+def lines_of(df, i):
+    return sorted(r["line_no"] for r in df.where(f"id = {i}").collect())
+
+
+def test_page_paths():
+    identity, title, row = page_paths(PAGE, "s.example")
+    assert row["line"] == sorted(row["line"]) and len({len(row[c]) for c in ("line", "block", "path", "letters", "chars")}) == 1
+    by_line = dict(zip(row["line"], row["path"]))
+    assert by_line[6] == by_line[7] != by_line[4] and row["linked"][row["line"].index(2)] == 4
+    assert page_paths(PAGE, "s.example") == (identity, title, row) and page_paths(PAGE, "t.example")[2]["path"] != row["path"]
+    assert page_paths("<br>", "")[2]["line"] == []
+
+
+def test_main_lines(spark, monkeypatch):
+    rows = [(i, *article(i)) for i in range(30)]
+    copies = [(100 + i, f"http://t.example/{i}", article(0, "<p>One more line of the article, not repeated.</p>")[1]) for i in range(8)]
+    cut_off = (200, "http://s.example/end", article(200)[1][: article(200)[1].index("</div>\n<aside")])
+    pages = table(spark, rows + copies + [cut_off, rows[0], (50, None, None), (51, "u", ""), (52, "http://s.example/", "<br>"), (None, *article(3))]).repartition(3)
+    got = main_lines(pages)
+    once = found(got, "id", "line_no")
+    for i in (0, 17, 200):
+        assert lines_of(got, i) == ARTICLE  # without the prompt on line 9
+    assert lines_of(got, 100) == sorted([*ARTICLE, 9])  # copies don't drive each other out
+    assert not {50, 51, 52} & {i for i, _ in once}
+    monkeypatch.setattr(mainbody, "BROADCAST_PATHS", 0)
+    assert found(main_lines(pages), "id", "line_no") == once
+    monkeypatch.setattr(mainbody, "HOT_SITE", 2.0)
+    assert found(main_lines(pages), "id", "line_no") == once
+
+
+def test_ratios_decide(spark, monkeypatch):
+    """With every ratio the same, most pages come out otherwise before the step of repeated lines, and a fifth after it."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    ratios = mainbody._ratios
+
+    def both():
+        return [{r["id"]: r["x"] for r in main_lines(pages, repeated).groupBy("id").agg(F.sort_array(F.collect_list("line_no")).alias("x")).collect()} for repeated in (1 << 40, mainbody.REPEATED)]
 
+    own = both()
+    monkeypatch.setattr(mainbody, "_ratios", lambda parsed: ratios(parsed).withColumn("ratio", F.lit(60.0)))
+    for a, b, share in zip(own, both(), (0.7, 0.15)):
+        assert len(a) > 500 and sum(a[i] != b.get(i) for i in a) > share * len(a)
 
-def test_main_lines(spark):
-    def page(i, share=True):
-        return PAGE.replace("Small valley of Aron", f"Valley {'abcdefgh'[i]}{'x' * i} of Aron").replace("<p>A second", ("<p>Tell a friend about our site, now.</p>\n" if share else "") + "<p>Page " + "nopqrstu"[i] * (i + 2) + " has a second")
 
-    unlike = lambda s, i: s.replace("The valley", f"The {'klmnopqr'[i] * (i + 3)} valley").replace("A first point", f"{'klmnopqr'[i] * (i + 3)} point").replace("A second point", f"{'klmnopqr'[i] * (i + 3)} other").replace("Length", "klmnopqr"[i] * (i + 3))
-    rows = [(i, f"http://s.example/{i}", unlike(page(i), i)) for i in range(6)]
-    copies = [(10 + i, f"http://t.example/{i}", page(0, False)) for i in range(8)]
-    got = found(main_lines(table(spark, rows + copies + [rows[0], (50, None, None), (51, "u", "")])), "id", "line_no")
-    assert [n for i, n in got if i == 0] == [4, 6, 8, 9, 10, 11]  # without the prompt on line 7
-    assert [n for i, n in got if i == 10] == [4, 6, 7, 8, 9, 10]  # copies don't drive each other out
-    assert not {50, 51} & {i for i, _ in got}
+def test_threshold_parts_two_classes():
+    assert mainbody.cut({}) == mainbody.cut({3: 9}) == 0.0
+    assert 1 < mainbody.cut({0: 50, 1: 40, 2: 3, 30: 40, 32: 60}) < 60
