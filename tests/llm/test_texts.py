@@ -74,7 +74,7 @@ def leaked(documents, items, window=10):
     return out
 
 
-@pytest.mark.parametrize("limit", [leaks.BROADCAST_SHINGLES, 0])
+@pytest.mark.parametrize("limit", [leaks.BLOCK_WINDOWS, 7])
 def test_leaks(spark, limit):
     rng = random.Random(5)
     word = lambda: rng.choice("red fox owl log sun sea".split())
@@ -82,11 +82,19 @@ def test_leaks(spark, limit):
     documents = [(i, " ".join(word() for _ in range(60))) for i in range(60)]
     documents += [(100 + k, "before, " + t.upper().replace(" ", " -- ") + " after") for k, (_, t) in enumerate(items) if t] + [(200, None), (201, ""), (202, "same same " * 400), (None, "same " * 20), documents[0]]
     items.append((30, " ".join(documents[3][1].split()[20:32])))
-    got = leaks.leaked_items(docs(spark, documents), spark.createDataFrame([(*r, "x") for r in items], ITEMS), broadcast_shingles=limit)
+    got = leaks.leaked_items(docs(spark, documents), spark.createDataFrame([(*r, "x") for r in items], ITEMS), block_windows=limit)
     rows = [(r["doc_id"], r["item_id"]) for r in got.collect()]
     assert len(rows) == len(set(rows)) and set(rows) == leaked(documents, items) and (3, 30) in rows
 
 
+def test_leaks_of_ids_with_several_texts(spark):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(14))
+    items = [(1, word("a")), (1, word("b")), (2, word("a")), (3, word("c")), (3, word("c"))]
+    documents = [(7, "x " + word("a")), (8, word("b") + " y"), (9, word("c")), (9, "z " + word("b")[:-4])]
+    got = leaks.leaked_items(docs(spark, documents), spark.createDataFrame([(*r, "x") for r in items], ITEMS)).collect()
+    assert sorted(tuple(r) for r in got) == [(7, 1, 5), (7, 2, 5), (8, 1, 5), (9, 1, 4), (9, 3, 5)]
+
+
 def test_leaks_of_nothing(spark):
     none = spark.createDataFrame([], ITEMS)
     assert leaks.leaked_items(docs(spark, [(1, "a b")]), none).count() == 0
