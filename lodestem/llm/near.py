@@ -3,9 +3,10 @@
 Not the pivot method: distances between the shingle sets of unrelated texts are all close to 1, so triangle-inequality
 windows around pivots would send nearly every record to every region (figures in the README). Chosen instead, as exact:
 
-1. Records with equal shingle sets form a class; only classes are joined.
+1. Records with equal shingle sets form a class, told by a signature. From here on each class is one text, that of its
+   least id, so nothing below grows with copies.
 2. Shingles are ordered by rarity, as far as frequent ones are known: the ``ORDERED`` most frequent, counted over all
-   data, come last by their counts, all others before them by hash. Any order gives the same result.
+   classes, come last by their counts, all others before them by hash. Any order gives the same result.
 3. Two sets that are similar enough share at least ``SHARED`` shingles within the prefixes of that order whose length
    follows from the threshold. Prefixes are spread by shingle; pairs that meet under one shingle are cut by the bounds on
    length and on position, and counted. A frequent shingle's classes are paired in several places.
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +37,13 @@ SHARED = 4
 ORDERED, SLOT_BITS = 1_000_000, 22
 #: Classes of one shingle that are paired in one place, about.
 SPLIT = 5000
-#: Verification sends wanted ids to the scan up to this many (8 bytes each); beyond it the texts are shuffled.
+#: Ids of classes are sent to the scans of the records up to this many (16 bytes each); beyond it texts are shuffled, once.
 BROADCAST_IDS = 2_000_000
 #: Pairs made at once within a task, and texts handled at once.
 CHUNK, BATCH = 1 << 20, 512
 
-_words = re.compile("[a-z0-9]+").findall
+#: Words of a lower-cased text: of plain Latin letters and digits only, or of any script (a sign of Chinese or Japanese is a word).
+PLAIN, ANY = "[a-z0-9]+", r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+"
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -63,11 +66,21 @@ BITS = 55
 _MASK = np.uint64((1 << BITS) - 1)
 
 
+class Form(NamedTuple):
+    """What a record's set is made of: words of ``pattern``, as many to a shingle. With ``short``, a text of fewer words
+    has one shingle, all its words; else it has none and is no case."""
+
+    words: int
+    pattern: str = PLAIN
+    short: bool = False
+
+
 class _Shingler:
     """Distinct hashed word shingles of up to ``BATCH`` texts at once."""
 
-    def __init__(self, words: int) -> None:
-        self.words = words
+    def __init__(self, form: Form) -> None:
+        self.words, self.short = form.words, form.short
+        self.split = re.compile(form.pattern).findall
         self.known = _Codes()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +91,9 @@ class _Shingler:
         codes: list[int] = []
         counts = []
         for t in texts:
-            w = _words(t.lower()) if t else ()
+            w = self.split(t.lower()) if t else ()
+            if self.short and 0 < len(w) < self.words:
+                w = [*[""] * (self.words - len(w)), *w]
             counts.append(len(w))
             codes += [known[x] for x in w]
         h = np.array(codes, np.uint64)
@@ -106,36 +121,64 @@ def _signed(of: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return of[starts], sizes, _mix(np.add.reduceat(_mix(shingles), starts) + sizes.astype(np.uint64))
 
 
-def _survey(df: DataFrame, words: int) -> DataFrame:
-    """``kind`` 0: signature and id of every record with a set; ``kind`` 1: a shingle and its count in a block of
-    texts, where it occurs more than twice there (rarer ones need no place in the order)."""
+def _signatures(df: DataFrame, form: Form) -> DataFrame:
+    """``class``, ``id`` of every record (``id``, ``text``) with a set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = _Shingler(form)
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                b = whole.slice(start, BATCH)
+                at, _, signs = _signed(*shingler(b.column(1).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), b.column(0).take(pa.array(at))], names=["class", "id"])
+
+    return df.mapInArrow(run, "class long, id long")
+
+
+def _texts(records: DataFrame, classes: DataFrame, form: Form) -> DataFrame:
+    """``class``, ``text``: one text of each of ``classes`` (``class``, ``id``). Few classes go to the scan of the records; many
+    are joined with them and the texts staged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = _Shingler(form)
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                b = whole.slice(start, BATCH)
+                at, _, signs = _signed(*shingler(b.column(0).to_pylist()))
+                own = b.column(1).to_numpy(zero_copy_only=False)[at] == signs.view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at[own])), b.column(0).take(pa.array(at[own]))], names=["class", "text"])
+
+    few = classes.count() <= BROADCAST_IDS
+    # an id of several texts brings texts of other classes too; the text of the class is told by its signature. Repeated rows go in dropDuplicates
+    both = records.join(F.broadcast(classes) if few else classes, "id").select("text", "class")
+    return staged(both.mapInArrow(run, "class long, text string").dropDuplicates(["class"]))
+
+
+def _counts(texts: DataFrame, form: Form) -> DataFrame:
+    """``a``, ``b``: a shingle and its count in a block of classes, where it occurs more than twice there (rarer ones
+    need no place in the order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _Shingler(words)
+        shingler = _Shingler(form)
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
             v, c = np.unique(np.concatenate(held), return_counts=True)
             v, c = v[c > 2], c[c > 2]
-            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c), pa.array(np.ones(len(v), np.int8))], names=["a", "b", "kind"])
+            return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(c)], names=["a", "b"])
 
         size = 0
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
-                b = whole.slice(start, BATCH)
-                of, shingles = shingler(b.column(1).to_pylist())
-                at, _, signs = _signed(of, shingles)
-                ids = b.column(0).to_numpy(zero_copy_only=False)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), pa.array(ids), pa.array(np.zeros(len(ids), np.int8))], names=["a", "b", "kind"])
-                held.append(shingles)
-                size += len(shingles)
+                held.append(shingler(whole.column(0).slice(start, BATCH).to_pylist())[1])
+                size += len(held[-1])
                 if size > 1 << 22:
                     yield counted()
                     held, size = [], 0
         if held:
             yield counted()
 
-    return df.mapInArrow(run, "a long, b long, kind byte")
+    return texts.select("text").mapInArrow(run, "a long, b long")
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -153,38 +196,38 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
-def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``cell``, ``sign``, ``place``: the prefix of each class of equal sets, once per block of texts. ``place`` holds
+def _prefixes(texts: DataFrame, form: Form, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``cell``, ``sign``, ``place``: the prefix of each class (a row of ``texts``). ``place`` holds
     the set's size, the shingle's rank and a side, from high to low bits, so that it sorts by size.
 
     A cell is a shingle. One counted more than ``SPLIT`` times is cut: its classes fall into parts, each pair of parts
     is a cell of its own, and the side tells the two (1, 2) apart; 0 where all pairs of a cell count.
     """
-    shared, split = df.sparkSession.sparkContext.broadcast(common), SPLIT
+    shared, split = texts.sparkSession.sparkContext.broadcast(common), SPLIT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _Shingler(words)
+        shingler = _Shingler(form)
         keys, counts = shared.value
-        table = np.zeros(1 << SLOT_BITS, np.uint64)
-        np.maximum.at(table, keys >> np.uint64(BITS - SLOT_BITS), np.minimum(counts, (1 << (BITS - 32)) - 1).astype(np.uint64))
-        told: set[int] = set()
+        slots = keys >> np.uint64(BITS - SLOT_BITS)
+        table = np.zeros(1 << SLOT_BITS, np.uint64)  # the order of shingles as frequent as the bits can tell is by hash
+        np.maximum.at(table, slots, np.minimum(counts, (1 << (BITS - 32)) - 1).astype(np.uint64))
+        cut = np.ones(1 << SLOT_BITS, np.int32)
+        np.maximum.at(cut, slots, (counts // split + 1).astype(np.int32))
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
-                of, s = shingler(whole.column(1).slice(start, BATCH).to_pylist())
+                of, s = shingler(whole.column(0).slice(start, BATCH).to_pylist())
                 _, sizes, signs = _signed(of, s)
-                weight = table[s >> np.uint64(BITS - SLOT_BITS)]
+                slot = s >> np.uint64(BITS - SLOT_BITS)
+                weight = table[slot]
                 # sorted by text and weight; the place, which is in the order of shingles, comes along in the low bits
                 order = of.astype(np.uint64) << np.uint64(BITS) | weight << np.uint64(32) | np.arange(len(s), dtype=np.uint64)
                 order.sort()
                 at = (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                s, weight = s[at], weight[at].astype(np.int64)
+                s, parts = s[at], cut[slot[at]].astype(np.int64)
                 rank = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                if len(told) > 1 << 20:
-                    told.clear()
-                new = np.array([not (x in told or told.add(x)) for x in signs.tolist()], bool)
                 length = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + SHARED
-                keep = (rank < np.repeat(length, sizes)) & np.repeat(new, sizes)
-                cell, sign, size, rank, parts = s[keep], np.repeat(signs, sizes)[keep], np.repeat(sizes, sizes)[keep], rank[keep], weight[keep] // split + 1
+                keep = rank < np.repeat(length, sizes)
+                cell, sign, size, rank, parts = s[keep], np.repeat(signs, sizes)[keep], np.repeat(sizes, sizes)[keep], rank[keep], parts[keep]
                 side = np.zeros(len(cell), np.int64)
                 if (parts > 1).any():
                     row = np.repeat(np.arange(len(cell)), parts)
@@ -192,12 +235,12 @@ def _prefixes(df: DataFrame, words: int, similarity: float, common: tuple[np.nda
                     cell, sign, size, rank, parts = (x[row] for x in (cell, sign, size, rank, parts))
                     own = (_mix(sign) % parts.astype(np.uint64)).astype(np.int64)
                     side = np.where(own == other, 0, np.where(own < other, 1, 2))
-                    pair = (np.minimum(own, other) << 24 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1)
+                    pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1)
                     cell = np.where(parts > 1, _mix(cell ^ _mix(pair)), cell)
                 place = size << 34 | rank << 2 | side
                 yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(sign.view(np.int64)), pa.array(place)], names=["cell", "sign", "place"])
 
-    return df.mapInArrow(run, "cell long, sign long, place long")
+    return texts.select("text").mapInArrow(run, "cell long, sign long, place long")
 
 
 def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
@@ -216,8 +259,7 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
         order = np.lexsort((sign, place >> 34, v))
         v, sign, place = v[order], sign[order], place[order]
         own = np.r_[True, v[1:] != v[:-1]]
-        keep = own | np.r_[True, sign[1:] != sign[:-1]]  # the same class from several blocks
-        group, sign, place = (np.cumsum(own) - 1)[keep] << 32, sign[keep], place[keep]
+        group = (np.cumsum(own) - 1) << 32
         size, rank, side = place >> 34, place >> 2 & 0xFFFFFFFF, place & 3
         width = np.searchsorted(group + size, group + np.floor(size / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(size)) - 1
         total = np.cumsum(width)
@@ -256,13 +298,15 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
     return prefixes.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long, need byte")
 
 
-def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+def _verified(pairs: DataFrame, form: Form, similarity: float) -> DataFrame:
     """``a``, ``b``, ``similarity`` of the pairs whose texts are similar enough, by their words, not by hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, split = form.words, re.compile(form.pattern).findall
+
         def shingles(t: str) -> set[tuple[str, ...]]:
-            w = _words(t.lower())
-            return set(zip(*(w[k:] for k in range(words))))
+            w = split(t.lower())
+            return {tuple(w)} if len(w) < words else set(zip(*(w[k:] for k in range(words))))
 
         known: dict[int, set[tuple[str, ...]]] = {}
         for b in batches:
@@ -282,46 +326,29 @@ def _verified(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def similar_classes(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, text: str, form: Form = Form(WORDS, ANY, True), similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Classes and links: (``class``, ``id``) of every record that has a shingle, and (``a``, ``b``, ``similarity``)
     between different classes, a < b. Both are staged tables.
 
-    A class is the 64-bit signature of the set. Records with a null id, or with fewer words than a shingle, have no
+    A class is the 64-bit signature of the set. Records with a null id, or without a shingle of ``form``, have no
     class; repeated rows count once; an id with several texts is in several classes.
     """
     records = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    survey = staged(_survey(records, words))
-    classes = survey.where("kind = 0").select(F.col("a").alias("class"), F.col("b").alias("id")).distinct()
-    keys, counts = _frequent(survey.where("kind = 1"))
-    met = _met(_prefixes(records, words, similarity, (keys, counts)), similarity)
+    classes = staged(_signatures(records, form).distinct())
+    texts = _texts(records, staged(classes.groupBy("class").agg(F.min("id").alias("id"))), form)
+    met = _met(_prefixes(texts, form, similarity, _frequent(_counts(texts, form))), similarity)
     candidates = staged(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need")).select("a", "b"))
-    wanted = staged(candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct().join(classes, "class").groupBy("class").agg(F.min("id").alias("id")))
-    ids = F.broadcast(wanted.select("id", "class")) if wanted.count() <= BROADCAST_IDS else wanted.select("id", "class")
-    # an id of several texts brings texts of other classes too; the text of the class is told by its signature
-    texts = staged(_of_class(records.join(ids, "id"), words).dropDuplicates(["class"]))
-    pairs = candidates.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
-    pairs = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
-    return classes, staged(_verified(pairs, words, similarity))
-
-
-def _of_class(df: DataFrame, words: int) -> DataFrame:
-    """Rows (``id``, ``text``, ``class``) whose text has the signature of the class: ``class``, ``text``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _Shingler(words)
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                b = whole.slice(start, BATCH)
-                at, _, signs = _signed(*shingler(b.column(0).to_pylist()))
-                own = b.column(1).to_numpy(zero_copy_only=False)[at] == signs.view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at[own])), b.column(0).take(pa.array(at[own]))], names=["class", "text"])
-
-    return df.select("text", "class").mapInArrow(run, "class long, text string")
+    wanted = staged(candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct())
+    compared = texts.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "class")
+    pairs = candidates.join(compared.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = pairs.join(compared.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b")
+    return classes, staged(_verified(pairs, form, similarity))
 
 
-def similar_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``id_a``, ``id_b`` (a < b) of all similar records, copies included: for results that are stated as pairs."""
-    classes, links = similar_classes(df, key, text, words, similarity)
+def similar_pairs(df: DataFrame, key: str, text: str, form: Form = Form(WORDS, ANY, True), similarity: float = SIMILARITY) -> DataFrame:
+    """``id_a``, ``id_b`` (a < b) of all similar records, copies included: only for results that are stated as pairs, as n
+    copies of a text are n² / 2 of them. :func:`similar_records` states the same in one row for each record."""
+    classes, links = similar_classes(df, key, text, form, similarity)
     a, b = classes.select(F.col("class").alias("a"), F.col("id").alias("x")), classes.select(F.col("class").alias("b"), F.col("id").alias("y"))
     linked = links.join(a, "a").join(b, "b").select("x", "y")
     copies = a.join(b, F.col("a") == F.col("b")).where(F.col("x") < F.col("y")).select("x", "y")
@@ -329,23 +356,38 @@ def similar_pairs(df: DataFrame, key: str, text: str, words: int = WORDS, simila
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-def similar_groups(df: DataFrame, key: str, text: str, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def _degrees(links: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    return links.select(F.col(a).alias(name)).unionByName(links.select(F.col(b).alias(name))).groupBy(name).agg(F.count(F.lit(1)).alias("n_links"))
+
+
+def similar_records(df: DataFrame, key: str, text: str, form: Form = Form(WORDS, ANY, True), similarity: float = SIMILARITY) -> DataFrame:
+    """``id``, ``class_id`` (the least id of the records with the same set), ``n_links`` (number of other classes that this one is
+    similar to): one row for each record that has a shingle. An id with several texts has one for each."""
+    classes, links = similar_classes(df, key, text, form, similarity)
+    named = classes.groupBy("class").agg(F.min("id").alias("class_id")).join(_degrees(links, "a", "b", "class"), "class", "left")
+    return classes.join(named, "class").select("id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def similar_groups(df: DataFrame, key: str, text: str, form: Form = Form(WORDS, ANY, True), similarity: float = SIMILARITY) -> DataFrame:
     """``id``, ``group_id``, ``n_links``: the least id that each record's chain of similar records leads to, and the
     number of other classes its own is linked with. Records without a class are groups of their own and left out."""
-    classes, links = similar_classes(df, key, text, words, similarity)
+    classes, links = similar_classes(df, key, text, form, similarity)
     names = staged(classes.groupBy("class").agg(F.min("id").alias("name")))
     edges = links.join(names.withColumnsRenamed({"class": "a", "name": "x"}), "a").join(names.withColumnsRenamed({"class": "b", "name": "y"}), "b")
     edges = staged(edges.select("x", "y").where("x <> y").distinct())
-    degree = edges.select(F.col("x").alias("name")).unionByName(edges.select(F.col("y").alias("name"))).groupBy("name").agg(F.count(F.lit(1)).alias("n_links"))
-    stars = connected(edges)
-    named = names.join(stars.withColumnsRenamed({"node": "name"}), "name", "left").join(degree, "name", "left")
+    named = names.join(connected(edges).withColumnsRenamed({"node": "name"}), "name", "left").join(_degrees(edges, "x", "y", "name"), "name", "left")
     named = named.select("class", F.coalesce("root", "name").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return classes.join(named, "class").groupBy("id").agg(F.min("group_id").alias("group_id"), F.max("n_links").alias("n_links"))
 
 
 def connected(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: the least node reachable from each, by alternating large and small stars until nothing
-    changes; each round is a staged table, and no task holds a component: minima and edges are joined by node."""
+    changes (told by number and hash of the edges); each round is a staged table, and no task holds a component: minima,
+    combined within splits, and edges are joined by node, a node of very many edges in several tasks (adaptive skew join)."""
+
+    def state(e: DataFrame) -> tuple:
+        h = F.xxhash64("x", "y").cast("decimal(38,0)")
+        return tuple(e.agg(F.count(F.lit(1)), F.sum(h), F.sum(F.pmod(h, F.lit(1_000_003)) * F.pmod(F.xxhash64("y", "x"), F.lit(1_000_033)))).first())
 
     def least(e: DataFrame, wider: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("y").alias("x"), F.col("x").alias("y"))) if wider else e.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
@@ -358,10 +400,12 @@ def connected(edges: DataFrame) -> DataFrame:
         return out.where("x <> y").distinct()
 
     now = staged(edges.select("x", "y").where("x <> y").distinct())
+    before = state(now)
     while True:
         then = staged(least(least(now, True), False))
-        if not then.exceptAll(now).limit(1).count() and not now.exceptAll(then).limit(1).count():
+        after = state(then)
+        if after == before:
             break
-        now = then
+        now, before = then, after
     roots = then.select(F.col("x").alias("node"), F.col("y").alias("root"))
     return roots.unionByName(then.select(F.col("y").alias("node"), F.col("y").alias("root"))).groupBy("node").agg(F.min("root").alias("root"))

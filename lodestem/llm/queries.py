@@ -48,10 +48,16 @@ def p4_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = near.similar_pairs(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text", words=3, similarity=0.5)
+    pairs = near.similar_pairs(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text", near.Form(3), 0.5)
     return pairs.select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
 
 
+def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """What p6_found states as pairs, in one row for each record: its class of equal sets and the links of that class."""
+    records = near.similar_records(table(spark, folder, "doc_meta", "doc_id", "snippet_text"), "doc_id", "snippet_text", near.Form(3), 0.5)
+    return records.withColumnRenamed("id", "doc_id")
+
+
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with its group, by the whole text of its article; a page without like ones is a group of its own."""
     pages = table(spark, folder, "pages", "id", "url", "html")
@@ -77,4 +83,4 @@ def p9_restored(spark: SparkSession, folder: str) -> DataFrame:
     return garbled.garbled_texts(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p4_text, p6_found, p6_groups, p7_ids, p8_found, p9_found, p9_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_clean, p3_found, p3_scores, p4_found, p4_text, p6_found, p6_classes, p6_groups, p7_ids, p8_found, p9_found, p9_restored)}

@@ -124,7 +124,7 @@ def test_similar_pairs(spark, words, least):
             w[rng.randrange(len(w))] = f"v{rng.randrange(5)}"
         rows.append((i, " ".join(w)))
     rows += [(500, None), (501, ""), (502, "one"), (None, rows[0][1]), rows[3], (503, rows[0][1].upper())]
-    got = [(r["id_a"], r["id_b"]) for r in near.similar_pairs(docs(spark, rows), "doc_id", "text", words, least).collect()]
+    got = [(r["id_a"], r["id_b"]) for r in near.similar_pairs(docs(spark, rows), "doc_id", "text", near.Form(words), least).collect()]
     assert len(got) == len(set(got)) and set(got) == similar(rows, words, least)
 
 
@@ -135,18 +135,41 @@ def test_chunks_and_few_ordered(spark, monkeypatch, split):
     monkeypatch.setattr(near, "ORDERED", 3 if split > 7 else 100)
     monkeypatch.setattr(near, "SPLIT", split)
     monkeypatch.setattr(near, "BROADCAST_IDS", 0)
-    got = {(r["id_a"], r["id_b"]) for r in near.similar_pairs(docs(spark, rows), "doc_id", "text", 1, 0.7).collect()}
+    got = {(r["id_a"], r["id_b"]) for r in near.similar_pairs(docs(spark, rows), "doc_id", "text", near.Form(1), 0.7).collect()}
     assert got == similar(rows, 1, 0.7)
 
 
 def test_groups(spark):
     a, b = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(60))
-    rows = [(5, a), (3, a + " x"), (9, a + " x y"), (7, a), (2, b), (8, "alone in the whole world"), (6, None)]
+    rows = [(5, a), (3, a + " x"), (9, a + " x y"), (7, a), (2, b), (8, "alone in the whole world"), (6, None), (11, "Δύο λέξεις"), (10, "δύο – λέξεις!"), (12, "δύο"), (14, "検索索引保存"), (13, "検索 索引、保存"), (15, "…")]
     got = {r["id"]: (r["group_id"], r["n_links"]) for r in near.similar_groups(docs(spark, rows), "doc_id", "text").collect()}
-    assert got == {5: (3, 2), 3: (3, 2), 9: (3, 2), 7: (3, 2), 2: (2, 0), 8: (8, 0)}
+    assert got == {5: (3, 2), 3: (3, 2), 9: (3, 2), 7: (3, 2), 2: (2, 0), 8: (8, 0), 10: (10, 0), 11: (10, 0), 12: (12, 0), 13: (13, 0), 14: (13, 0)}
     assert near.similar_groups(docs(spark, []), "doc_id", "text").count() == 0
 
 
+def test_prefixes_do_not_grow_with_copies_or_tasks(spark):
+    """Classes come before counts and prefixes: copies of one text, in any number of tasks, leave the same rows."""
+    rng = random.Random(2)
+    base = [" ".join(f"w{rng.randrange(200)}" for _ in range(40)) for _ in range(3)]
+    seen = set()
+    for copies, tasks in ((500, 2), (2000, 2), (2000, 8)):
+        rows = spark.range(copies).select("id", F.element_at(F.array(*map(F.lit, base)), (F.col("id") % 3 + 1).cast("int")).alias("text")).repartition(tasks)
+        form = near.Form(3)
+        classes = near._signatures(rows, form).distinct().groupBy("class").agg(F.min("id").alias("id"))
+        texts = near._texts(rows, classes, form)
+        prefixes = near._prefixes(texts, form, 0.5, near._frequent(near._counts(texts, form)))
+        seen.add((texts.count(), prefixes.count(), prefixes.agg(F.sum(F.hash("cell"))).first()[0]))
+    assert len(seen) == 1 and next(iter(seen))[0] == 3
+
+
+def test_similar_records(spark):
+    text = " ".join(f"a{k}" for k in range(30))
+    rows = [(5, text), (3, text), (4, text.upper() + "!"), (9, text + " end"), (9, text + " end"), (7, "of its own, only"), (8, "two words"), (6, None), (None, text)]
+    got = near.similar_records(docs(spark, rows), "doc_id", "text", near.Form(3), 0.5).collect()
+    assert sorted(tuple(r) for r in got) == [(3, 3, 1), (4, 3, 1), (5, 3, 1), (7, 7, 0), (9, 9, 1)]
+    assert near.similar_records(docs(spark, []), "doc_id", "text").count() == 0
+
+
 def test_connected_chain(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)]
     got = {r["node"]: r["root"] for r in near.connected(spark.createDataFrame(edges, "x long, y long")).collect()}
