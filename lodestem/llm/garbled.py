@@ -1,13 +1,18 @@
 """Text decoded with the wrong character encoding (problem 9): found, and restored where possible.
 
-A multinomial (naive Bayes) classifier over hashed byte bigrams tells for a token which chain of encodings it went
-through. It is fitted on tokens of a bounded sample of the corpus, once as they are and once garbled by every chain of
-``CHAINS``. A predicted chain is undone strictly, byte for byte; a token counts as garbled if that succeeds and what
-comes out is likelier to be clean text than what went in. Tokens with U+FFFD, or with control characters that no
+A multinomial (naive Bayes) classifier over hashed byte bigrams tells which chain of encodings a record went through. It
+is fitted on tokens of a bounded sample of the corpus, once as they are and once garbled by every chain of ``CHAINS``;
+then once more without the tokens of the sample that the first fit finds garbled.
+
+A record's chain is predicted from all its suspect tokens together: the one with the highest sum, over the tokens that it
+undoes strictly, byte for byte, of the log-odds of the chain and of the restored token, both against the token as clean
+text. For a chain that starts from UTF-8 one token is enough; single-byte chains nearly always decode, so they need
+``SUPPORT`` tokens, or one very sure one, that are likelier garbled than clean and likelier clean once undone. The chain
+then is undone in every token of the record that it makes likelier, short ones too. Tokens with U+FFFD, or with control characters that no
 author types, are garbled even where no chain can be undone: their original is lost.
 
-Garbled sequences cited in a sentence about encodings are no case: a quoted token that stands for a single character,
-or stands in a sentence that speaks of bytes, encodings or character sets, stays as it is.
+Garbled sequences only cited are no case, told by their form: a token that stands for a single character, and is quoted or
+has this character, alone, beside it on its line.
 """
 
 from __future__ import annotations
@@ -22,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of the training sample, by order of a hash of the id; of them at most so many distinct tokens are used.
-SAMPLE_ROWS, SAMPLE_TOKENS = 3000, 40_000
+#: Rows of the training sample, the lowest by a hash of the id, and the distinct tokens of them that are used, by frequency.
+#: A longer token (text without blanks) counts with its beginning in fitting only.
+SAMPLE_ROWS, SAMPLE_TOKENS, TOKEN_SIZE = 3000, 40_000, 64
 #: Hashed byte bigrams.
 BUCKETS = 1 << 14
 #: (written as, read as) of each chain; a repeated pair is a text garbled twice.
@@ -36,17 +42,20 @@ CHAINS: tuple[tuple[str, str], ...] = (
 #: Log-odds of a chain against clean text, and of the restored token against the garbled one (low, as the sample holds
 #: garbled tokens too), from which a token of a single-byte chain counts.
 SURE, GAIN = 12.0, 3.0
-#: Such a chain needs so many distinct tokens in a document, or one that is surer than this.
+#: Such a chain needs so many distinct tokens in a record, or one that is surer than this.
 SUPPORT, ALONE = 2, (24.0, 3.0)
+#: A record is garbled throughout if a single-byte chain makes at least this share of the tokens likelier that it can undo.
+NEARLY_ALL = 0.8
 
 _TOKENS = re.compile(r"[^ \t\r\n]+").findall
 _RUNS = re.compile(r"[^\x00-\x7f]+")
 _LOST = re.compile("�")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
-_ABOUT = re.compile(r"(?i)\b(?:encod\w*|charset\w*|character sets?|code ?pages?|mojibake|bytes?|utf-?8|unicode|latin-?1|decod\w*|garbled|kodier\w*|zeichensatz|codificaci\w*|encodage\w*)")
 _QUOTES = {"'": "'", "`": "`", "«": "»", "“": "”", '"': '"', "‘": "’", "„": "“", "(": ")"}
-#: Characters looked at on both sides for the sentence about a cited token.
-_NEAR = 160
+#: Characters of the line looked at on both sides of a cited token.
+_NEAR = 60
+_UTF8 = [k for k, c in enumerate(CHAINS) if c[0] == "utf-8"]
+_SINGLE = [k for k, c in enumerate(CHAINS) if c[0] != "utf-8"]
 
 
 def _table(read: str) -> tuple[dict[int, str], dict[str, int]]:
@@ -98,10 +107,16 @@ class Classifier:
 
     def __init__(self, weights: np.ndarray) -> None:
         self.weights = weights
-        self.known: dict[str, tuple[int, str | None, float] | None] = {}
+        self.known: dict[str, bool] = {}
 
     @classmethod
     def fit(cls, tokens: Counter[str]) -> Classifier:
+        first = cls._fit(tokens)
+        clean = Counter({t: n for t, n in tokens.items() if not first.suspect(t)})
+        return cls._fit(clean) if clean else first
+
+    @classmethod
+    def _fit(cls, tokens: Counter[str]) -> Classifier:
         rows = [Counter[str](tokens)]
         for k in range(len(CHAINS)):
             row: Counter[str] = Counter()
@@ -121,50 +136,68 @@ class Classifier:
     def scores(self, text: str) -> np.ndarray:
         return self.weights[_bigrams(text)].sum(0)
 
-    def judge(self, token: str) -> tuple[int, str | None, float] | None:
-        """(chain, restored, certainty) of a garbled token; chain -1 and None for one whose original is lost; None for
-        a clean one. Certainty is 2 for strictly decoded or lost ones, 1 or 0 for a sure or a likely single-byte chain."""
-        if token in self.known:
-            return self.known[token]
-        if len(self.known) > 1 << 19:
-            self.known.clear()
-        got = self.known[token] = self._judge(token)
+    def suspect(self, token: str) -> bool:
+        """Whether a token may be garbled, as told from itself alone."""
+        got = self.known.get(token)
+        if got is None:
+            if len(self.known) > 1 << 19:
+                self.known.clear()
+            s = self.scores(token)
+            got = self.known[token] = bool(_LOST.search(token) or _CONTROL.search(token) or any(self.undone(token, k, s) for k in _UTF8) or any(self.gained(token, k, s) for k in _SINGLE))
         return got
 
-    def _judge(self, token: str) -> tuple[int, str | None, float] | None:
-        s = self.scores(token)
-        ranked = np.argsort(-s[1:]).tolist()  # likeliest chains first
-        for k in ranked:
-            if CHAINS[k][0] == "utf-8":  # multi-byte sequences that decode strictly are no chance
-                back = restore(token, k)
-                if back is not None and (s[k + 1] > s[0] or self.scores(back)[0] > s[0]):
-                    return k, back, 2.0
-        # parts of a token: signs of its own beside a garbled run
-        for k in ranked:
-            if CHAINS[k][0] == "utf-8":
-                done = _RUNS.sub(lambda m, k=k: self._run(m[0], k), token)
-                if done != token:
-                    return k, done, 2.0
-        for k in ranked[:6]:
-            odds = float(s[k + 1] - s[0])
-            if odds < SURE or CHAINS[k][0] == "utf-8" or not any(c.isalpha() for c in token):
-                continue
-            back = restore(token, k)
-            if back is None or _CONTROL.search(back) or not _natural(back):
-                continue
-            gain = float(self.scores(back)[0] - s[0])
-            if gain >= GAIN:
-                return k, back, float(odds >= ALONE[0] and gain >= ALONE[1])
-        if _LOST.search(token) or _CONTROL.search(token):
-            return -1, None, 2.0
-        return None
-
-    def _run(self, run: str, chain: int) -> str:
-        if len(run) < 2:
-            return run
-        s = self.scores(run)
-        back = restore(run, chain) if s[chain + 1] > s[0] else None
-        return run if back is None else back
+    def undone(self, token: str, k: int, s: np.ndarray) -> tuple[str, float] | None:
+        """(restored, evidence) of a token with a chain from UTF-8 undone, in whole or in its garbled runs. Evidence is the
+        log-odds of the chain and of the restored token, each against the token as clean text."""
+        back = restore(token, k) or _RUNS.sub(lambda m: (len(m[0]) > 1 and restore(m[0], k)) or m[0], token)
+        if back == token:
+            return None
+        evidence = float(s[k + 1] - s[0]) + float(self.scores(back)[0] - s[0])
+        return (back, evidence) if evidence >= SURE else None
+
+    def gained(self, token: str, k: int, s: np.ndarray, sure: float = SURE, least: float = GAIN) -> tuple[str, float, float] | None:
+        """(restored, odds, gain) of a token under a single-byte chain, if both are high enough."""
+        odds = float(s[k + 1] - s[0])
+        if odds < sure:
+            return None
+        back = restore(token, k)
+        if back is None or _CONTROL.search(back) or not _natural(back):
+            return None
+        gain = float(self.scores(back)[0] - s[0])
+        return (back, odds, gain) if gain >= least else None
+
+    def _single(self, tokens: list[str], s: list[np.ndarray], left: list[int], k: int) -> tuple[float, dict[int, str]]:
+        """Evidence for a single-byte chain in a record, and the tokens it restores."""
+        sure = [got for i in left if any(c.isalpha() for c in tokens[i]) and (got := self.gained(tokens[i], k, s[i]))]
+        if len(sure) < SUPPORT and not any(odds >= ALONE[0] and gain >= ALONE[1] for _, odds, gain in sure):
+            return 0.0, {}
+        # one chain for the record: now any token counts that it makes likelier, and if these are nearly all that it can undo, all
+        can = {i: got for i in left if (got := self.gained(tokens[i], k, s[i], -np.inf, -np.inf))}
+        likelier = {i: x for i, x in can.items() if x[1] + x[2] > 0}
+        total = sum(odds + gain for _, odds, gain in likelier.values())
+        return total, {i: x[0] for i, x in (can if len(likelier) >= NEARLY_ALL * len(can) else likelier).items()}
+
+    def chain(self, tokens: list[str], s: list[np.ndarray]) -> dict[str, str]:
+        """Suspect tokens of one record with their originals, by the chain that all of them together give most evidence
+        for; what it leaves may come from another chain, where a record is put together from several sources."""
+        new: dict[str, str] = {}
+        left = list(range(len(tokens)))
+        while left:
+            best: tuple[float, dict[int, str]] = (0.0, {})
+            for k in _UTF8:
+                got = {i: x for i in left if (x := self.undone(tokens[i], k, s[i]))}
+                total = sum(e for _, e in got.values())
+                if total > best[0]:
+                    best = total, {i: x for i, (x, _) in got.items()}
+            for k in _SINGLE:
+                got = self._single(tokens, s, left, k)
+                if got[0] > best[0]:
+                    best = got
+            if not best[1]:
+                return new
+            new |= {tokens[i]: b for i, b in best[1].items()}
+            left = [i for i in left if i not in best[1]]
+        return new
 
 
 def _natural(text: str) -> bool:
@@ -173,53 +206,75 @@ def _natural(text: str) -> bool:
     return len(kinds) < 2 or "cjk" in kinds
 
 
-def _cited(text: str, token: str, back: str | None) -> bool:
-    """Whether the token is a sequence in quotes that are whole, and stands for one character or in a sentence about
-    encodings."""
+def _cited(text: str, token: str) -> bool:
+    """Whether a token stands for one character and is quoted, or has this character alone beside it on its line."""
     bare = token.strip(".,;:!?")
-    if len(bare) < 3 or _QUOTES.get(bare[0]) != bare[-1] or len(bare) > 14:
+    quoted = len(bare) > 2 and _QUOTES.get(bare[0]) == bare[-1]
+    inner = bare[1:-1] if quoted else bare
+    if not 2 <= len(inner) <= 6:
         return False
-    if back is not None and len(back.strip(".,;:!?")) == 3:
-        return True
+    stands = {back for k in _UTF8 if (back := restore(inner, k)) is not None and len(back) == 1}
+    if quoted or not stands:
+        return bool(stands)
     at = text.find(token)
-    return _ABOUT.search(text, max(0, at - _NEAR), at + len(token) + _NEAR) is not None
+    line = text[max(0, at - _NEAR) : at + len(token) + _NEAR].replace("\r", "\n")
+    start, end = line.rfind("\n", 0, min(at, _NEAR)) + 1, line.find("\n", min(at, _NEAR))
+    return any(x in stands or x.strip(".,;:!?\"'`«»“”‘’„()") in stands for x in _TOKENS(line[start : end if end >= 0 else None]))
 
 
 def repaired(text: str, model: Classifier) -> tuple[bool, str, int, bool]:
     """(garbled, restored text, number of garbled tokens, whether nothing is lost) of one text."""
-    found: list[tuple[str, str | None, int, float]] = []
-    for token in dict.fromkeys(_TOKENS(text)):
-        if token.isascii():
-            continue
-        got = model.judge(token)
-        if got is None or _cited(text, token, got[1]):
-            continue
-        found.append((token, got[1], got[0], got[2]))
-    support = Counter(k for _, _, k, _ in found)
-    found = [x for x in found if x[3] or support[x[2]] >= SUPPORT]
-    if not found:
+    tokens = [x for x in dict.fromkeys(_TOKENS(text)) if not x.isascii()]
+    suspects = [x for x in tokens if model.suspect(x)]
+    if not suspects or not (suspects := [x for x in suspects if not _cited(text, x)]):
+        return False, text, 0, True
+    tokens = [x for x in tokens if x in set(suspects) or not _cited(text, x)]
+    new = model.chain(tokens, [model.scores(x) for x in tokens])
+    lost = [x for x in tokens if x not in new and (_LOST.search(x) or _CONTROL.search(x))]
+    if not new and not lost:
         return False, text, 0, True
-    new = {}
-    whole = True
-    for token, back, _, _ in found:
+    for token, back in new.items():
         for _ in range(3):  # garbled more than once
-            again = model.judge(back) if back is not None and not back.isascii() else None
-            if again is None or again[1] is None or again[2] < 2:
+            if back.isascii():
+                break
+            s = model.scores(back)
+            again = max((x[::-1] for k in _UTF8 if (x := model.undone(back, k, s))), default=None)
+            if again is None:
                 break
             back = again[1]
-        whole = whole and back is not None and "�" not in back
-        new[token] = token if back is None else back
-    out = re.sub(r"[^ \t\r\n]+", lambda m: new.get(m[0], m[0]), text)
-    return True, out, len(found), whole
+        new[token] = back
+    whole = not lost and not any(_LOST.search(b) for b in new.values())
+    return True, re.sub(r"[^ \t\r\n]+", lambda m: new.get(m[0], m[0]), text), len(new) + len(lost), whole
 
 
 def training_tokens(documents: DataFrame, key: str, text: str) -> Counter[str]:
-    """Distinct non-ASCII tokens of the sample, with their counts, most frequent first."""
-    rows = documents.where(F.col(text).isNotNull() & F.col(text).rlike("[^\\x00-\\x7f]")).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
-    counts: Counter[str] = Counter()
-    for r in rows.orderBy("h").limit(SAMPLE_ROWS).select("t").toLocalIterator():
-        counts.update(x for x in _TOKENS(r[0]) if not x.isascii())
-    return Counter(dict(counts.most_common(SAMPLE_TOKENS)))
+    """Distinct non-ASCII tokens of the sample, with their counts, most frequent first.
+
+    The sample is bounded before anything is sorted or moved: a bound on the hash of the id, from the number of rows, leaves some
+    four times ``SAMPLE_ROWS`` rows, of which only hashes go to the driver; the texts of the lowest are split in their tasks.
+    """
+    rows = documents.where(F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"))
+    total, bound = rows.count(), 4 * SAMPLE_ROWS
+    lowest: list[int] = []
+    while True:
+        least = (1 << 63) - 1 if bound >= total else -(1 << 63) + (bound << 64) // total
+        held = rows.where((F.col("h") <= least) & F.col("t").rlike("[^\\x00-\\x7f]")).select("h")
+        lowest = [r["h"] for r in held.orderBy("h").limit(SAMPLE_ROWS).collect()]
+        if len(lowest) == SAMPLE_ROWS or bound >= total:
+            break
+        bound *= 8
+    if not lowest:
+        return Counter()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                counts.update(x[:TOKEN_SIZE] for x in _TOKENS(t) if not x[:TOKEN_SIZE].isascii())
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
+
+    counted = rows.where(F.col("h") <= lowest[-1]).select("t").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return Counter({r["token"]: r["n"] for r in counted.orderBy(F.desc("n"), "token").limit(SAMPLE_TOKENS).collect()})
 
 
 def garbled_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
