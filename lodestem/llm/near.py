@@ -61,6 +61,54 @@ class _Codes(dict):
         return got
 
 
+#: Bytes of texts hashed at once, and for each byte value a fixed random number, 0 for what separates words.
+_AT_ONCE = 1 << 20
+_BYTES = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64) * np.array([chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" for c in range(256)], np.uint64)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    step = np.array([int(_A), pow(int(_A), -1, 1 << 64)], np.uint64)
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)]) for x in step)
+    return up, down
+
+
+class _PlainWords:
+    """Hashes of the runs of ``[a-z0-9]`` in lower-cased texts, over the bytes of many texts at once."""
+
+    def __init__(self) -> None:
+        self.up, self.down = _powers(_AT_ONCE)
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words in order, and the number of words of each text."""
+        encoded = [t.lower().encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        hashes, counts = [], []
+        at = 0
+        while at < len(encoded):
+            end, size = at, 0
+            while end < len(encoded) and (end == at or size + len(encoded[end]) < _AT_ONCE):
+                size += len(encoded[end]) + 1
+                end += 1
+            h, n = self._hashed(encoded[at:end], size)
+            hashes.append(h), counts.append(n)
+            at = end
+        return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+    def _hashed(self, encoded: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b" ".join([*encoded, b""]), np.uint8)
+        values = _BYTES[data]
+        inside = values != 0
+        start = inside.copy()
+        start[1:] &= ~inside[:-1]
+        first = np.flatnonzero(start)
+        if not len(first):
+            return np.empty(0, np.uint64), np.zeros(len(encoded), np.int64)
+        up, down = (self.up, self.down) if size <= _AT_ONCE else _powers(size)
+        h = np.add.reduceat(values * up[:size], first) * down[first]
+        ends = np.cumsum(np.fromiter((len(x) + 1 for x in encoded), np.int64, len(encoded)))
+        return _mix(h), np.bincount(np.searchsorted(ends, first, "right"), minlength=len(encoded))
+
+
 #: A shingle is a hash of this many bits: the rest of a 64-bit word numbers the texts of a batch.
 BITS = 55
 _MASK = np.uint64((1 << BITS) - 1)
@@ -81,25 +129,15 @@ class _Shingler:
     def __init__(self, form: Form) -> None:
         self.words, self.short = form.words, form.short
         self.split = re.compile(form.pattern).findall
+        self.plain = _PlainWords() if form.pattern == PLAIN and not form.short else None
         self.known = _Codes()
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(text number, shingle), in this order."""
-        known = self.known
-        if len(known) > 1 << 20:
-            known.clear()
-        codes: list[int] = []
-        counts = []
-        for t in texts:
-            w = self.split(t.lower()) if t else ()
-            if self.short and 0 < len(w) < self.words:
-                w = [*[""] * (self.words - len(w)), *w]
-            counts.append(len(w))
-            codes += [known[x] for x in w]
-        h = np.array(codes, np.uint64)
+        h, counts = self.plain(texts) if self.plain else self._coded(texts)
         if len(h) < self.words:
             return np.empty(0, np.int64), np.empty(0, np.uint64)
-        of = np.repeat(np.arange(len(texts), dtype=np.uint64), np.array(counts, np.int64))
+        of = np.repeat(np.arange(len(texts), dtype=np.uint64), counts)
         m = len(h) - self.words + 1
         s = np.zeros(m, np.uint64)
         for k in range(self.words):
@@ -111,6 +149,20 @@ class _Shingler:
         both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
         return (both >> np.uint64(BITS)).astype(np.int64), both & _MASK
 
+    def _coded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        known = self.known
+        if len(known) > 1 << 20:
+            known.clear()
+        codes: list[int] = []
+        counts = []
+        for t in texts:
+            w = self.split(t.lower()) if t else ()
+            if self.short and 0 < len(w) < self.words:
+                w = [*[""] * (self.words - len(w)), *w]
+            counts.append(len(w))
+            codes += [known[x] for x in w]
+        return np.array(codes, np.uint64), np.array(counts, np.int64)
+
 
 def _signed(of: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number, size and signature of each text that has a shingle."""
@@ -122,7 +174,7 @@ def _signed(of: np.ndarray, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _signatures(df: DataFrame, form: Form) -> DataFrame:
-    """``class``, ``id`` of every record (``id``, ``text``) with a set."""
+    """``class``, ``id``, ``h`` of every record (``id``, ``text``, ``h``, a hash of the text) with a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _Shingler(form)
@@ -130,28 +182,19 @@ def _signatures(df: DataFrame, form: Form) -> DataFrame:
             for start in range(0, whole.num_rows, BATCH):
                 b = whole.slice(start, BATCH)
                 at, _, signs = _signed(*shingler(b.column(1).to_pylist()))
-                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), b.column(0).take(pa.array(at))], names=["class", "id"])
-
-    return df.mapInArrow(run, "class long, id long")
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(signs.view(np.int64)), b.column(0).take(take), b.column(2).take(take)], names=["class", "id", "h"])
 
+    return df.select("id", "text", "h").mapInArrow(run, "class long, id long, h long")
 
-def _texts(records: DataFrame, classes: DataFrame, form: Form) -> DataFrame:
-    """``class``, ``text``: one text of each of ``classes`` (``class``, ``id``). Few classes go to the scan of the records; many
-    are joined with them and the texts staged."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = _Shingler(form)
-        for whole in batches:
-            for start in range(0, whole.num_rows, BATCH):
-                b = whole.slice(start, BATCH)
-                at, _, signs = _signed(*shingler(b.column(0).to_pylist()))
-                own = b.column(1).to_numpy(zero_copy_only=False)[at] == signs.view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(at[own])), b.column(0).take(pa.array(at[own]))], names=["class", "text"])
 
-    few = classes.count() <= BROADCAST_IDS
-    # an id of several texts brings texts of other classes too; the text of the class is told by its signature. Repeated rows go in dropDuplicates
-    both = records.join(F.broadcast(classes) if few else classes, "id").select("text", "class")
-    return staged(both.mapInArrow(run, "class long, text string").dropDuplicates(["class"]))
+def _texts(records: DataFrame, signed: DataFrame) -> DataFrame:
+    """``class``, ``text``: one text of each class of ``signed`` (:func:`_signatures`), that of its least id; staged. Few
+    classes go to the scan of the records; of many the records are joined with them."""
+    one = staged(signed.groupBy("class").agg(F.min(F.struct("id", "h")).alias("r")).select("class", "r.*"))
+    few = one.count() <= BROADCAST_IDS
+    both = records.join(F.broadcast(one) if few else one, ["id", "h"]).select("class", "text")
+    return staged(both.dropDuplicates(["class"]))  # a row delivered again
 
 
 def _counts(texts: DataFrame, form: Form) -> DataFrame:
@@ -328,14 +371,15 @@ def _verified(pairs: DataFrame, form: Form, similarity: float) -> DataFrame:
 
 def similar_classes(df: DataFrame, key: str, text: str, form: Form = Form(WORDS, ANY, True), similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Classes and links: (``class``, ``id``) of every record that has a shingle, and (``a``, ``b``, ``similarity``)
-    between different classes, a < b. Both are staged tables.
+    between different classes, a < b. Both come from staged tables.
 
     A class is the 64-bit signature of the set. Records with a null id, or without a shingle of ``form``, have no
     class; repeated rows count once; an id with several texts is in several classes.
     """
-    records = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    classes = staged(_signatures(records, form).distinct())
-    texts = _texts(records, staged(classes.groupBy("class").agg(F.min("id").alias("id"))), form)
+    records = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
+    signed = staged(_signatures(records, form).distinct())
+    classes = signed.select("class", "id").distinct()
+    texts = _texts(records, signed)
     met = _met(_prefixes(texts, form, similarity, _frequent(_counts(texts, form))), similarity)
     candidates = staged(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("need").alias("need")).where(F.col("n") >= F.col("need")).select("a", "b"))
     wanted = staged(candidates.select(F.col("a").alias("class")).unionByName(candidates.select(F.col("b").alias("class"))).distinct())

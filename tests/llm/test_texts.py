@@ -153,15 +153,29 @@ def test_prefixes_do_not_grow_with_copies_or_tasks(spark):
     base = [" ".join(f"w{rng.randrange(200)}" for _ in range(40)) for _ in range(3)]
     seen = set()
     for copies, tasks in ((500, 2), (2000, 2), (2000, 8)):
-        rows = spark.range(copies).select("id", F.element_at(F.array(*map(F.lit, base)), (F.col("id") % 3 + 1).cast("int")).alias("text")).repartition(tasks)
+        rows = spark.range(copies).select("id", F.element_at(F.array(*map(F.lit, base)), (F.col("id") % 3 + 1).cast("int")).alias("text")).withColumn("h", F.xxhash64("text")).repartition(tasks)
         form = near.Form(3)
-        classes = near._signatures(rows, form).distinct().groupBy("class").agg(F.min("id").alias("id"))
-        texts = near._texts(rows, classes, form)
+        texts = near._texts(rows, near._signatures(rows, form).distinct())
         prefixes = near._prefixes(texts, form, 0.5, near._frequent(near._counts(texts, form)))
         seen.add((texts.count(), prefixes.count(), prefixes.agg(F.sum(F.hash("cell"))).first()[0]))
     assert len(seen) == 1 and next(iter(seen))[0] == 3
 
 
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1 -é\u212aß\n_", max_size=30)), max_size=12), st.sampled_from([8, 1 << 20]))
+@settings(max_examples=60, deadline=None)
+def test_plain_words(texts, at_once):
+    import numpy as np
+
+    words = [re.findall("[a-z0-9]+", (t or "").lower()) for t in texts]
+    near._AT_ONCE, kept = at_once, near._AT_ONCE
+    try:
+        hashes, counts = near._PlainWords()(texts)
+    finally:
+        near._AT_ONCE = kept
+    flat = [w for x in words for w in x]
+    assert counts.tolist() == [len(x) for x in words] and len({*zip(flat, hashes.tolist())}) == len(set(flat)) == len(np.unique(hashes))
+
+
 def test_similar_records(spark):
     text = " ".join(f"a{k}" for k in range(30))
     rows = [(5, text), (3, text), (4, text.upper() + "!"), (9, text + " end"), (9, text + " end"), (7, "of its own, only"), (8, "two words"), (6, None), (None, text)]
