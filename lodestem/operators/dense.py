@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestem.sources.staging import staged
+
 #: What counts as white space around a term, as ``str.isspace`` has it.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0                　"
 #: Accumulator arrays grow by blocks of this many identifiers.
@@ -125,6 +127,122 @@ def range_totals(parts: DataFrame, key: str, sums: Sequence[str], id_name: str)
     return parts.select(key, *sums).repartition(n, key).mapInArrow(reduce, out)
 
 
+def dictionary(keys: DataFrame, key: str) -> DataFrame:
+    """A global integer dictionary: ``raw`` (a spelling of ``key`` as it stands), ``key`` (clean), ``key_id``, and
+    ``n_rows`` of the spelling. Null and blank keys have no entry. Staged, so that the identifiers stay as they are.
+
+    Spellings are counted within splits and cleaned once each; equal rows of the same spelling never meet in one task.
+    """
+    raw = staged(keys.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("raw")).agg(F.count(F.lit(1)).alias("n_rows")).withColumn(key, clean(F.col("raw"))).where(F.col(key) != ""))
+    ids = range_totals(raw.select(key, "n_rows"), key, ["n_rows"], "key_id").select(key, "key_id")
+    return staged(raw.join(ids, key).select("raw", key, "key_id", "n_rows"))
+
+
+def encoded(df: DataFrame, key: str, words: DataFrame, few: int, hot: float = 0.01) -> DataFrame:
+    """``df`` with ``key_id`` in place of ``key``; rows without an entry in ``words`` (of :func:`dictionary`) are left out.
+
+    Up to ``few`` entries go to all tasks. Beyond, spellings that hold at least the share ``hot`` of the rows, at most
+    1 / ``hot`` of them, do, and the rest is joined by spelling.
+    """
+    df = df.withColumnRenamed(key, "raw")
+    entries, rows = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_rows"), F.lit(0))).first()
+    if entries <= few:
+        return df.join(F.broadcast(words.select("raw", "key_id")), "raw").drop("raw")
+    heavy = F.col("n_rows") >= hot * rows
+    apart = F.broadcast(words.where(heavy).select("raw", "key_id"))
+    rest = df.join(apart.select("raw"), "raw", "left_anti").join(words.where(~heavy).select("raw", "key_id").hint("merge"), "raw")
+    return df.join(apart, "raw").unionByName(rest).drop("raw")
+
+
+def without_repeats(df: DataFrame) -> DataFrame:
+    """Rows of integer columns without those that are repeated within a block of a split: what is left of a row delivered
+    very many times is a few rows for each split. No shuffle."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
+
+        def give() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            columns = [c.to_numpy() for c in table.columns]
+            h = np.zeros(count, np.uint64)
+            for c in columns:
+                h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            order = np.argsort(h, kind="stable")
+            same = np.ones(max(0, count - 1), bool)
+            for c in columns:  # rows are the same if all columns are, not by the hash
+                same &= c[order[1:]] == c[order[:-1]]
+            keep = order[np.r_[True, ~same]]
+            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                count += b.num_rows
+            if count > FLUSH_KEYS:
+                yield give()
+                held, count = [], 0
+        if held:
+            yield give()
+
+    return df.mapInArrow(run, df.schema)
+
+
+def id_totals(df: DataFrame, sums: Sequence[str]) -> DataFrame:
+    """``key_id``, ``n_rows`` and sums of integer columns, of rows that hold a ``key_id`` (and no nulls).
+
+    Each split counts into arrays over its own identifiers; these are shuffled by range of ``BLOCK`` identifiers, and a
+    task adds them into one dense array for each range it owns.
+    """
+    schema = pa.schema([("key_id", pa.int64()), ("n_rows", pa.int64())] + [(s, pa.int64()) for s in sums])
+    out = T.StructType([T.StructField(f.name, T.LongType()) for f in schema])
+
+    def block(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+        ids, *measures = (np.concatenate(x) for x in zip(*held))
+        known, at = np.unique(ids, return_inverse=True)
+        totals = [np.zeros(len(known), np.int64) for _ in measures]
+        for total, m in zip(totals, measures):
+            np.add.at(total, at, m)
+        return [known, *totals]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        rows = 0
+        for b in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held.append([columns[0], np.ones(b.num_rows, np.int64), *columns[1:]])
+            rows += b.num_rows
+            if rows > 1 << 22:
+                held = [block(held)]
+                rows = len(held[0][0])
+                if rows > FLUSH_KEYS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], schema=schema)
+                    held, rows = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in block(held)], schema=schema)
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranges: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            ids, *measures = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            of = ids // BLOCK
+            order = np.argsort(of, kind="stable")
+            starts = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]]) if len(of) else []
+            for a, z in zip(starts, [*starts[1:], len(of)]):
+                rows = order[a:z]
+                arrays = ranges.setdefault(int(of[rows[0]]), [np.zeros(BLOCK, np.int64) for _ in measures])
+                for total, m in zip(arrays, measures):
+                    np.add.at(total, ids[rows] % BLOCK, m[rows])
+        for r, (n, *totals) in sorted(ranges.items()):
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(r * BLOCK + at), pa.array(n[at]), *(pa.array(t[at]) for t in totals)], schema=schema)
+
+    parts = df.select("key_id", *[F.col(s).cast("long").alias(s) for s in sums]).mapInArrow(count, out)
+    return parts.repartition(F.floor(F.col("key_id") / BLOCK)).mapInArrow(reduce, out)
+
+
 def _clean_name(name: str) -> str:
     return name.strip(WHITE).lower()
 

@@ -50,3 +50,32 @@ def test_against_brute_force(spark, rows):
             n, s = want.get(k, (0, 0))
             want[k] = (n + 1, s + (f or 0))
     assert totals(spark, rows) == want
+
+
+def test_dictionary_encoding_and_id_totals(spark, monkeypatch):
+    rows = [("A", 1, 2), (" a", 1, 3), ("b", 2, 1), (None, 1, 9), (" ", 1, 9), *[("hot", i, 1) for i in range(200)]]
+    df = spark.createDataFrame([(t, d, f, "x", "y") for t, d, f in rows], SCHEMA)
+    words = dense.dictionary(df, "term")
+    spellings = {r["raw"]: (r["term"], r["key_id"], r["n_rows"]) for r in words.collect()}
+    assert {k: (t, n) for k, (t, _, n) in spellings.items()} == {"A": ("a", 1), " a": ("a", 1), "b": ("b", 1), "hot": ("hot", 200)} and spellings["A"][1] == spellings[" a"][1]
+    name = {i: t for t, i, _ in spellings.values()}
+    for few in (100, 0):
+        coded = dense.encoded(df.select("term", "tf"), "term", words, few)
+        got = {name[r["key_id"]]: (r["n_rows"], r["tf"]) for r in dense.id_totals(coded, ["tf"]).collect()}
+        assert got == {"a": (2, 5), "b": (1, 1), "hot": (200, 200)}
+    assert dense.id_totals(coded.where("false"), ["tf"]).count() == 0 == dense.dictionary(df.where("false"), "term").count()
+
+
+def test_id_totals_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dense, "FLUSH_KEYS", 3)
+    df = spark.range(2000).selectExpr("id % 7 * 70000 + id % 3 AS key_id", "1L AS tf").repartition(5)
+    got = {r["key_id"]: (r["n_rows"], r["tf"]) for r in dense.id_totals(df, ["tf"]).collect()}
+    want = Counter(i % 7 * 70000 + i % 3 for i in range(2000))
+    assert got == {k: (n, n) for k, n in want.items()}
+
+
+def test_without_repeats(spark):
+    df = spark.range(9000).selectExpr("id % 3 AS a", "cast(id % 2 AS int) AS b").coalesce(2)
+    got = dense.without_repeats(df).collect()
+    assert len(got) <= 12 and {tuple(r) for r in got} == {(a, b) for a in range(3) for b in range(2)}
+    assert dense.without_repeats(df.where("false")).count() == 0
