@@ -11,61 +11,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestem.operators.dense import clean, range_totals, split_totals
+from lodestem.operators import dense
 from lodestem.sources.staging import staged
 
 #: A term in at most this many documents is too rare, and one in at least 1 / COMMON_PART of all too common, to be of use.
 RARE_DOCS, COMMON_PART = 2, 4
-#: Term statistics are broadcast up to this many terms (some 100 MB as a hashed relation); beyond it the join shuffles.
+#: Spellings, statistics of terms, and lengths of documents are broadcast up to this many (some 100 MB as a hashed
+#: relation); beyond it the joins shuffle.
 BROADCAST_TERMS = 1_000_000
 #: Terms in at least this share of the documents are joined apart; a corpus of documents with k terms each has at most k / HOT_SHARE of them.
 HOT_SHARE = 0.01
-#: A document's rows are spread over this many tasks by term.
-PARTS = 8
 
 
-def usable(postings: DataFrame) -> DataFrame:
-    """Rows that count: ``doc_id``, clean ``term``, ``tf``, and ``block``, which stands for the position list.
+def term_documents(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The dictionary (see :func:`lodestem.operators.dense.dictionary`), and ``doc_id``, ``key_id``, ``f`` (occurrences over
+    distinct rows): one row per clean term and document. Both are staged.
 
-    ``block`` is the position itself for lists of one, else a 64-bit hash: two different lists of one term in one
-    document are told apart but for a chance of 2**-64.
+    The dictionary comes first; only integers are shuffled, once, by document and term, so neither a hot term nor a huge
+    document stays in a few tasks, and rows delivered very often are dropped within their splits. A list of positions is told by its one position, else
+    by a 64-bit hash: two different lists of one term in one document are told apart but for a chance of 2**-64.
     """
+    rows = postings.where(F.col("doc_id").isNotNull())
+    words = dense.dictionary(rows, "term")
     p = F.col("positions")
     block = F.when(F.size(p) == 1, F.element_at(p, 1).cast("long")).otherwise(F.xxhash64(p))
-    return postings.select("doc_id", clean(F.col("term")).alias("term"), F.coalesce(F.col("tf"), F.lit(0)).alias("tf"), block.alias("block")).where(F.col("doc_id").isNotNull() & (F.col("term") != ""))
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "term", F.coalesce(F.col("tf"), F.lit(0)).cast("int").alias("tf"), F.coalesce(block, F.lit(0)).alias("block"))
+    rows = dense.without_repeats(dense.encoded(rows, "term", words, BROADCAST_TERMS).select("doc_id", "key_id", "block", "tf"))
+    rows = rows.repartition("doc_id", "key_id").groupBy("doc_id", "key_id", "block").agg(F.max("tf").alias("tf"))
+    return words, staged(rows.groupBy("doc_id", "key_id").agg(F.sum("tf").alias("f")))
 
 
-def term_documents(postings: DataFrame, lengths: DataFrame | None = None) -> DataFrame:
-    """One row per clean term and document: ``doc_id``, ``term``, ``f`` (occurrences over distinct rows), and
-    ``length`` if a table of ``doc_id``, ``length`` is given.
-
-    One shuffle of the rows, by document and an eighth of the terms, so that a huge document has several tasks;
-    both groupings and the join with the lengths, repeated for each eighth, need no other.
-    """
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = F.pmod(F.hash("term"), F.lit(PARTS)).alias("part")
-    rows = usable(postings).repartition(n, "doc_id", part)
-    rows = rows.groupBy("doc_id", part, "term", "block").agg(F.max("tf").alias("tf"))
-    rows = rows.groupBy("doc_id", "part", "term").agg(F.sum("tf").alias("f"))
-    if lengths is not None:
-        parts = F.array(*[F.lit(i) for i in range(PARTS)])
-        rows = rows.join(lengths.withColumn("part", F.explode(parts)).repartition(n, "doc_id", "part").hint("shuffle_hash"), ["doc_id", "part"], "left")
-    return rows.drop("part")
-
-
-def document_number(postings: DataFrame) -> int:
-    """Distinct ``doc_id`` among the rows that count."""
-    return postings.where(F.col("doc_id").isNotNull() & (clean(F.col("term")) != "")).select("doc_id").distinct().count()
-
-
-def term_counts(pairs: DataFrame) -> DataFrame:
-    """Occurrences and documents of every term: ``term``, ``term_id``, ``n_occurrences``, ``n_docs``.
-
-    Blockwise count arrays per split over a dictionary, summed by identifier range (see ``operators.dense``); each
-    row of ``pairs`` is one record presence.
-    """
-    parts = split_totals(pairs, "term", ["f"])
-    return range_totals(parts, "term", ["f", "n_rows"], "term_id").withColumnsRenamed({"f": "n_occurrences", "n_rows": "n_docs"})
+def term_counts(words: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Occurrences and documents of every term: ``term``, ``term_id``, ``n_occurrences``, ``n_docs``. Each row of
+    ``pairs`` is one record presence; count arrays of splits are summed by range of identifiers."""
+    counts = dense.id_totals(pairs, ["f"]).withColumnsRenamed({"key_id": "term_id", "f": "n_occurrences", "n_rows": "n_docs"})
+    return counts.join(words.select("term", F.col("key_id").alias("term_id")).distinct(), "term_id")
 
 
 def mark(n_docs: Column, n: int) -> Column:
@@ -75,8 +55,9 @@ def mark(n_docs: Column, n: int) -> Column:
 
 def term_frequencies(postings: DataFrame) -> DataFrame:
     """Problem 1: ``term``, ``term_id``, ``n_occurrences``, ``n_docs``, ``mark`` of every distinct term."""
-    n = document_number(postings)
-    return term_counts(term_documents(postings)).withColumn("mark", mark(F.col("n_docs"), n))
+    words, pairs = term_documents(postings)
+    n = pairs.select("doc_id").distinct().count()
+    return term_counts(words, pairs).select("term", "term_id", "n_occurrences", "n_docs", mark(F.col("n_docs"), n).alias("mark"))
 
 
 def _xlogx(x: Column) -> Column:
@@ -98,20 +79,22 @@ def characteristic_terms(postings: DataFrame, doc_meta: DataFrame) -> DataFrame:
     ``llr`` is the signed log-likelihood ratio of the term's count in the document against its count in the rest of
     the collection. ``score`` = f / length * ln(N / n_docs). Both are null without a record in ``doc_meta`` or with
     a length null or 0, and ``llr`` with one below ``f``. Of several lengths of
-    a document the largest holds. Rows per document and term are written once; the statistics and the join back read
-    that table.
+    a document the largest holds. Rows per document and term are written once; the statistics and the joins back read
+    that table. Beyond the limits of broadcasting, a term in up to ``HOT_SHARE`` of the documents, or a document of very
+    many terms, is split by the adaptive skew join.
     """
-    lengths = doc_meta.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("length").alias("length"))
-    pairs = staged(term_documents(postings, lengths))
-    stats = staged(term_counts(pairs)).select("term", "n_docs", "n_occurrences")
+    lengths = doc_meta.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("length").alias("length"))
+    words, pairs = term_documents(postings)
+    stats = staged(term_counts(words, pairs)).select(F.col("term_id").alias("key_id"), "term", "n_docs", "n_occurrences")
     n = pairs.select("doc_id").distinct().count()
     terms, corpus = stats.agg(F.count(F.lit(1)), F.sum("n_occurrences")).first()
     if terms <= BROADCAST_TERMS:
-        joined = pairs.join(F.broadcast(stats), "term")
+        joined = pairs.join(F.broadcast(stats), "key_id")
     else:
-        hot = stats.where(F.col("n_docs") >= HOT_SHARE * n)
-        spread = stats.where(F.col("n_docs") < HOT_SHARE * n)
-        joined = pairs.join(F.broadcast(hot), "term").unionByName(pairs.join(spread.hint("merge"), "term"))
+        hot = F.broadcast(stats.where(F.col("n_docs") >= HOT_SHARE * n))
+        rare = pairs.join(hot.select("key_id"), "key_id", "left_anti").join(stats.where(F.col("n_docs") < HOT_SHARE * n).hint("merge"), "key_id")
+        joined = pairs.join(hot, "key_id").unionByName(rare)
+    joined = joined.join(F.broadcast(lengths) if lengths.count() <= BROADCAST_TERMS else lengths, "doc_id", "left")
     known = F.col("length") > 0
     llr = F.when(known & (F.col("length") >= F.col("f")), log_likelihood(*(F.col(c).cast("double") for c in ("f", "length", "n_occurrences")), F.lit(float(corpus or 0))))
     score = F.when(known, F.col("f") / F.col("length") * F.log(F.lit(float(n)) / F.col("n_docs")))
