@@ -49,6 +49,7 @@ NEARLY_ALL = 0.8
 
 _TOKENS = re.compile(r"[^ \t\r\n]+").findall
 _RUNS = re.compile(r"[^\x00-\x7f]+")
+_SEVERAL = re.compile(r"[^\x00-\x7f]{2}")  # as a character of several bytes leaves
 _LOST = re.compile("�")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _QUOTES = {"'": "'", "`": "`", "«": "»", "“": "”", '"': '"', "‘": "’", "„": "“", "(": ")"}
@@ -143,7 +144,8 @@ class Classifier:
             if len(self.known) > 1 << 19:
                 self.known.clear()
             s = self.scores(token)
-            got = self.known[token] = bool(_LOST.search(token) or _CONTROL.search(token) or any(self.undone(token, k, s) for k in _UTF8) or any(self.gained(token, k, s) for k in _SINGLE))
+            likely = s[1:] - s[0] >= SURE
+            got = self.known[token] = bool(_LOST.search(token) or _CONTROL.search(token) or _SEVERAL.search(token) and any(self.undone(token, k, s) for k in _UTF8) or any(likely[k] and self.gained(token, k, s) for k in _SINGLE))
         return got
 
     def undone(self, token: str, k: int, s: np.ndarray) -> tuple[str, float] | None:
@@ -185,7 +187,7 @@ class Classifier:
         while left:
             best: tuple[float, dict[int, str]] = (0.0, {})
             for k in _UTF8:
-                got = {i: x for i in left if (x := self.undone(tokens[i], k, s[i]))}
+                got = {i: x for i in left if _SEVERAL.search(tokens[i]) and (x := self.undone(tokens[i], k, s[i]))}
                 total = sum(e for _, e in got.values())
                 if total > best[0]:
                     best = total, {i: x for i, (x, _) in got.items()}
