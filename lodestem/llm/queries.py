@@ -24,8 +24,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return sitelines.without_repeated(pages, sitelines.repeated_lines(pages))
+    return sitelines.clean_pages(table(spark, folder, "pages"))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
