@@ -184,14 +184,18 @@ class Classifier:
         for; what it leaves may come from another chain, where a record is put together from several sources."""
         new: dict[str, str] = {}
         left = list(range(len(tokens)))
+        several = {i for i in left if _SEVERAL.search(tokens[i])}
+        likely = np.array([x[1:] - x[0] for x in s]) >= SURE
         while left:
             best: tuple[float, dict[int, str]] = (0.0, {})
             for k in _UTF8:
-                got = {i: x for i in left if _SEVERAL.search(tokens[i]) and (x := self.undone(tokens[i], k, s[i]))}
+                got = {i: x for i in left if i in several and (x := self.undone(tokens[i], k, s[i]))}
                 total = sum(e for _, e in got.values())
                 if total > best[0]:
                     best = total, {i: x for i, (x, _) in got.items()}
             for k in _SINGLE:
+                if not likely[left, k].any():
+                    continue
                 got = self._single(tokens, s, left, k)
                 if got[0] > best[0]:
                     best = got
