@@ -4,12 +4,14 @@
     python -m lodestem stats --index PATH
     python -m lodestem lookup --index PATH WORDS...
     python -m lodestem search --index PATH [--method bm25|tfidf] [--k1 N] [--b N] [--top N] WORDS...
-    python -m lodestem crawl --seed URL... --out PATH [--domain HOST...] [--max-pages N] [--delay S]
+    python -m lodestem crawl --seed URL... --out PATH [--domain HOST...] [--max-pages N] [--delay S] [--no-robots] [--resume]
+    python -m lodestem compact --index PATH --to PATH
 """
 
 from __future__ import annotations
 
 import argparse
+import time
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from lodestem.operators import index as ix
 from lodestem.operators import retrieval as rt
 from lodestem.sources import crawl as cr
-from lodestem.sources.staging import ship_package
+from lodestem.sources.staging import ship_package, staging_area
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -28,8 +30,8 @@ def _parser() -> argparse.ArgumentParser:
     source.add_argument("--pages")
     source.add_argument("--documents")
     build.add_argument("--plain", action="store_true", help="without stemming")
-    stats, lookup, search, crawl = (sub.add_parser(x) for x in ("stats", "lookup", "search", "crawl"))
-    for x in (build, stats, lookup, search):
+    stats, lookup, search, crawl, compact = (sub.add_parser(x) for x in ("stats", "lookup", "search", "crawl", "compact"))
+    for x in (build, stats, lookup, search, compact):
         x.add_argument("--index", required=True)
     for x in (lookup, search):
         x.add_argument("words", nargs="+")
@@ -42,6 +44,9 @@ def _parser() -> argparse.ArgumentParser:
     crawl.add_argument("--out", required=True)
     crawl.add_argument("--max-pages", type=int, default=2000)
     crawl.add_argument("--delay", type=float, default=1.0)
+    crawl.add_argument("--no-robots", action="store_true", help="without asking for robots files")
+    crawl.add_argument("--resume", action="store_true", help="go on from the pages and links in --out")
+    compact.add_argument("--to", required=True)
     return p
 
 
@@ -51,9 +56,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     ship_package(spark)
     if args.command == "crawl":
         config = cr.CrawlConfig(tuple(args.seed), args.max_pages, tuple(args.domain), args.delay)
-        pages, links = cr.crawl(spark, config, cr.http_fetcher(config))
-        pages.write.mode("overwrite").parquet(f"{args.out}/pages")
-        links.write.mode("overwrite").parquet(f"{args.out}/links")
+        stored = [spark.read.parquet(f"{args.out}/{x}") for x in ("pages", "links")] if args.resume else [None, None]
+        with staging_area():
+            pages, links = cr.crawl(spark, config, cr.http_fetcher(config), None if args.no_robots else cr.http_robots(config), *stored)
+            mode = "append" if args.resume else "overwrite"
+            pages.write.mode(mode).parquet(f"{args.out}/pages")
+            links.write.mode(mode).parquet(f"{args.out}/links")
         cr.describe_crawl(spark.read.parquet(f"{args.out}/pages"), spark.read.parquet(f"{args.out}/links")).show()
         return
     if args.command == "build":
@@ -62,6 +70,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         ix.write(index, args.index)
         print(f"{index.n_docs} documents indexed, {index.skipped} copies left out")
         return
+    if args.command == "compact":
+        print(f"{ix.compact(spark, args.index, args.to).n_docs} documents")
+        return
     index = ix.read(spark, args.index)
     if args.command == "stats":
         ix.describe(index).show()
@@ -74,8 +85,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         rt.with_meta(index, rt.boolean_and(index, terms, 20)).orderBy("doc_id").show(truncate=False)
         return
     for method in [args.method] if args.method else ["tfidf", "bm25"]:
+        begun = time.perf_counter()
         found = rt.search(index, raw, method, args.top, args.k1, args.b)
-        print(f"--- {method}" + (f", repaired {found.corrections}" if found.corrections else "") + (", no document has the phrase" if found.phrase_fallback else ""))
+        found.results.collect()  # at most --top rows; as the reader waits for them
+        print(f"--- {method}, {time.perf_counter() - begun:.2f} s" + (f", repaired {found.corrections}" if found.corrections else "") + (", no document has the phrase" if found.phrase_fallback else ""))
         rt.with_snippets(index, found.results, raw).orderBy(F.desc("score")).show(args.top, truncate=100)
 
 

@@ -82,10 +82,17 @@ def read(source: str | None) -> _Reader:
 
 def page_text(source: str | None) -> str:
     """Text of the article body if there is one, else of the page, without noise; pieces joined by a blank."""
-    r = read(source)
+    return _text(read(source))
+
+
+def _text(r: _Reader) -> str:
     return " ".join(r.whole if r.body is None else r.body)
 
 
+def _title(r: _Reader) -> str | None:
+    return r.title.strip() if r.title and not r.title_mixed else None
+
+
 @F.pandas_udf(T.StringType())
 def html_text(source: pd.Series) -> pd.Series:
     """:func:`page_text` of each page."""
@@ -94,6 +101,14 @@ def html_text(source: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))]))
 def html_facts(source: pd.Series) -> pd.DataFrame:
-    """Title (null without a title element of plain text) and the targets of all links, in order, repeated ones too."""
+    """Title (null without a title element of plain text, or with an empty one) and the targets of all links, in order,
+    repeated ones too."""
+    pages = [read(s) for s in source]
+    return pd.DataFrame({"title": [_title(p) for p in pages], "links": [p.links for p in pages]})
+
+
+@F.pandas_udf(T.StructType([T.StructField("title", T.StringType()), T.StructField("text", T.StringType())]))
+def html_document(source: pd.Series) -> pd.DataFrame:
+    """Title and text of each page, as :func:`html_facts` and :func:`html_text` give them, in one reading."""
     pages = [read(s) for s in source]
-    return pd.DataFrame({"title": [None if p.title is None or p.title_mixed else p.title.strip() for p in pages], "links": [p.links for p in pages]})
+    return pd.DataFrame({"title": [_title(p) for p in pages], "text": [_text(p) for p in pages]})

@@ -133,9 +133,17 @@ def term_of(word: str) -> str:
     return _AGENTS.get(s, s)
 
 
+#: Stems of this process; each distinct word is stemmed once by a worker.
+KNOWN = _Terms()
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _terms(words: pd.Series) -> pd.Series:
-    known = _Terms()  # each distinct word of a batch is stemmed once
+    from lodestem.functions import stem as own  # the worker's module, not a copy of this one's values
+
+    known = own.KNOWN
+    if len(known) > 1 << 20:
+        known.clear()
     return words.map(lambda w: None if w is None else [known[x] for x in w])
 
 

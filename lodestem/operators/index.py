@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestem.functions import stem, text
-from lodestem.functions.html import html_facts, html_text
+from lodestem.functions.html import html_document
 from lodestem.sources.staging import staged
 
 
@@ -36,9 +36,11 @@ def from_documents(documents: DataFrame) -> DataFrame:
 
 
 def from_pages(pages: DataFrame) -> DataFrame:
-    """Crawled pages as (doc_id, url, title, text), one row per id; the URL stands in for a missing title."""
-    one = pages.groupBy("id").agg(F.max(F.struct("crawled_at", "url", "html")).alias("p")).select("id", "p.url", "p.html")
-    return one.select(F.col("id").alias("doc_id"), "url", F.coalesce(html_facts("html")["title"], "url").alias("title"), html_text("html").alias("text"))
+    """Crawled pages as (doc_id, url, title, text), one row per id, staged, so each page is read once. The stored title
+    counts (``title``, where there is such a column), else the page's own, else the URL."""
+    stored = F.col("title") if "title" in pages.columns else F.lit(None).cast("string")
+    one = pages.groupBy("id").agg(F.max(F.struct("crawled_at", "url", stored.alias("title"), "html")).alias("p")).select("id", "p.url", "p.title", html_document("p.html").alias("d"))
+    return staged(one.select(F.col("id").alias("doc_id"), "url", F.coalesce("title", "d.title", "url").alias("title"), F.col("d.text").alias("text")))
 
 
 def first_copies(docs: DataFrame) -> DataFrame:
@@ -62,15 +64,19 @@ def make_postings(tokens: DataFrame) -> DataFrame:
     return grouped.select("term", "doc_id", F.size("positions").alias("tf"), "positions", "length")
 
 
+def by_term(postings: DataFrame) -> DataFrame:
+    """Sorted by term in files of a range of terms; a frequent term is cut by documents, over as many files as it fills."""
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartitionByRange(parts, "term", "doc_id").sortWithinPartitions("term", "doc_id")
+
+
 def build(docs: DataFrame, stemmed: bool = True) -> Index:
     """Index of (doc_id, url, title, text). No documents give an empty index."""
     kept = staged(analyzed(first_copies(docs), stemmed))
     meta = kept.select("doc_id", "url", "title", F.size("tokens").alias("length"), F.substring("text", 1, text.SNIPPET_STORE).alias("snippet_text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    postings = staged(make_postings(kept).repartitionByRange(parts, "term").sortWithinPartitions("term", "doc_id"))
-    vocab = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.length("term").alias("len"), "df"))
-    n, average = meta.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
-    return Index(meta, postings, vocab, n, average, docs.count() - n, stemmed)
+    postings = staged(by_term(make_postings(kept)))
+    index = _counted(meta, postings, 0, stemmed)
+    return replace(index, skipped=docs.count() - index.n_docs)
 
 
 _built: dict[tuple, Index] = {}
@@ -108,7 +114,25 @@ def write(index: Index, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-def read(spark: SparkSession, path: str) -> Index:
-    """An index kept by :func:`write`."""
-    s = spark.read.parquet(f"{path}/stats").first()
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("doc_meta", "postings", "vocab")), s.n_docs, s.average_length, s.skipped, s.stemmed)
+def read(spark: SparkSession, path: str, stemmed: bool = True) -> Index:
+    """An index kept by :func:`write`, or by a stream, which keeps no vocabulary and statistics: these are then taken from
+    its tables, and ``stemmed`` says how it was analysed."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/stats")
+    meta, postings = (spark.read.parquet(f"{path}/{name}").drop("batch", "hash") for name in ("doc_meta", "postings"))
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        s = spark.read.parquet(f"{path}/stats").first()
+        return Index(meta, postings, spark.read.parquet(f"{path}/vocab"), s.n_docs, s.average_length, s.skipped, s.stemmed)
+    return _counted(meta, postings, 0, stemmed)
+
+
+def _counted(meta: DataFrame, postings: DataFrame, skipped: int, stemmed: bool) -> Index:
+    vocab = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.length("term").alias("len"), "df"))
+    n, average = meta.agg(F.count(F.lit(1)), F.coalesce(F.avg("length"), F.lit(0.0))).first()
+    return Index(meta, postings, vocab, n, average, skipped, stemmed)
+
+
+def compact(spark: SparkSession, path: str, to: str, stemmed: bool = True) -> Index:
+    """The index at ``path``, of a stream's many small files too, written anew at ``to``: postings by ranges of terms, with vocabulary and statistics."""
+    index = read(spark, path, stemmed)
+    write(replace(index, postings=by_term(index.postings), doc_meta=index.doc_meta.repartitionByRange("doc_id")), to)
+    return read(spark, to)

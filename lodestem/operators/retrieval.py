@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestem.functions import scores, text
-from lodestem.functions.stem import term_of
+from lodestem.functions.stem import term_of, terms
 from lodestem.operators.index import Index
+from lodestem.sources.staging import staged
 
 POOL_FACTOR, POOL_LEAST = 5, 50
 SNIPPET_WINDOW = 160
@@ -85,12 +86,16 @@ def _term_rows(index: Index, terms: Sequence[str]) -> DataFrame:
 
 def scored(index: Index, terms: Sequence[str], method: str = "bm25", k1: float = scores.K1, b: float = scores.B) -> DataFrame:
     """``doc_id``, ``score`` of every document with a term. Any method but ``tfidf`` is BM25."""
-    rows, n = _term_rows(index, terms), F.lit(float(index.n_docs))
+    return _summed(index, _term_rows(index, terms), ["doc_id"], method, k1, b)
+
+
+def _summed(index: Index, rows: DataFrame, by: list[str], method: str, k1: float, b: float) -> DataFrame:
+    n = F.lit(float(index.n_docs))
     if method == "tfidf":
         weight = scores.tf_weight(F.col("tf")) * scores.idf(n, F.col("df"))
     else:
         weight = scores.bm25_idf(n, F.col("df")) * scores.bm25_weight(F.col("tf"), F.col("length"), F.lit(float(index.average_length)), k1, b)
-    return rows.groupBy("doc_id").agg(F.sum(weight).alias("score"))
+    return rows.groupBy(*by).agg(F.sum(weight).alias("score"))
 
 
 def _order() -> list[Column]:
@@ -121,13 +126,23 @@ def repairs(index: Index, words: DataFrame, max_distance: int | None = None) ->
     """``word``, ``fix`` for those of ``words`` (column ``word``) that the vocabulary lacks and that have a neighbour in
     it within the edits allowed: the nearest, then the shortest, then the first in order.
 
-    The band of lengths is exploded, so the join is an equi-join on length.
+    Every term is cut into one more piece than there may be edits, so a term within reach holds one of its pieces
+    unchanged in the word, moved by at most the edits: an equi-join on length of the term, number and text of the piece.
     """
     words = words.select("word").distinct().join(index.vocab.select(F.col("term").alias("word")), "word", "left_anti")
+    most = 2 if max_distance is None else max_distance
     cap = F.lit(max_distance) if max_distance is not None else text.max_edits(F.length("word"))
-    band = words.select("word", cap.alias("cap")).where("cap > 0").withColumn("len", F.explode(F.sequence(F.length("word") - F.col("cap"), F.length("word") + F.col("cap"))))
-    near = F.broadcast(band).join(index.vocab.select("term", "len"), "len") if max_distance is None or max_distance < 10 else band.join(index.vocab.select("term", "len"), "len")
-    near = near.withColumn("d", F.levenshtein("word", "term")).where(F.col("d") <= F.col("cap"))
+    size, size_of_word = F.col("len"), F.length("word")
+    piece = F.floor(size / (most + 1)).cast("int")
+    width = F.when(F.col("k") == most, size - piece * most).otherwise(piece)
+    numbers = F.explode(F.sequence(F.lit(0), F.lit(most)))
+    terms = index.vocab.select("term", F.col("len").cast("int").alias("len")).withColumn("k", numbers)
+    terms = terms.select("term", "len", "k", F.col("term").substr(F.col("k") * piece + 1, width).alias("piece"))
+    asked = words.select("word", cap.alias("cap")).where("cap > 0").withColumn("len", F.explode(F.sequence(F.greatest(F.lit(0), size_of_word - F.col("cap")), size_of_word + F.col("cap")))).withColumn("k", numbers)
+    asked = asked.withColumn("at", F.explode(F.sequence(F.col("k") * piece - F.col("cap"), F.col("k") * piece + F.col("cap")))).where((F.col("at") >= 0) & (F.col("at") + width <= size_of_word))
+    asked = asked.select("word", "cap", "len", "k", F.col("word").substr(F.col("at") + 1, width).alias("piece")).distinct()
+    near = asked.join(terms, ["len", "k", "piece"])
+    near = near.withColumn("d", F.levenshtein("word", "term", most)).where(F.col("d").between(0, F.col("cap")))
     return near.groupBy("word").agg(F.min_by("term", F.struct("d", "len", "term")).alias("fix"))
 
 
@@ -208,24 +223,47 @@ def search(index: Index, raw: str, method: str = "bm25", k: int = 10, k1: float
     if not q.phrases:
         return Outcome(ranked(index, q.terms, k, method, k1, b), q.corrections, False)
     if phrase_scope == "corpus":
-        rows = scored(index, q.terms, method, k1, b)
-        pool = with_meta(index, rows).select("doc_id", "score", "url", "title")
-    else:
-        pool = ranked(index, q.terms, max(POOL_FACTOR * k, POOL_LEAST), method, k1, b)
-    kept = pool
+        best = scored(index, q.terms, method, k1, b)
+        for p in q.phrases:
+            best = best.join(phrase_documents(index, p), "doc_id", "left_semi")
+        best = staged(with_meta(index, best.orderBy(*_order()).limit(k)).select("doc_id", "score", "url", "title"))
+        if best.count():
+            return Outcome(best.orderBy(*_order()), q.corrections, False)
+        return Outcome(ranked(index, q.terms, k, method, k1, b), q.corrections, True)
+    pool = staged(ranked(index, q.terms, max(POOL_FACTOR * k, POOL_LEAST), method, k1, b))  # ranked once, whatever follows
+    best = pool
     for p in q.phrases:
-        kept = kept.join(phrase_documents(index, p, pool if phrase_scope == "pool" else None), "doc_id", "left_semi")
-    best = kept.orderBy(*_order()).limit(k)
-    if best.limit(1).count():
-        return Outcome(best, q.corrections, False)
-    return Outcome(pool.orderBy(*_order()).limit(k), q.corrections, True)
+        best = best.join(phrase_documents(index, p, pool), "doc_id", "left_semi")
+    best = staged(best.orderBy(*_order()).limit(k))
+    found = best.count() > 0
+    return Outcome((best if found else pool).orderBy(*_order()).limit(k), q.corrections, not found)
+
+
+def search_batch(index: Index, queries: DataFrame, method: str = "bm25", k: int = 10, k1: float = scores.K1, b: float = scores.B) -> DataFrame:
+    """The ``k`` best documents for each of many queries (``query_id``, ``raw``), by all their words, in one plan:
+    ``query_id``, ``rank``, ``doc_id``, ``score``, ``url``, ``title``.
+
+    Words that the vocabulary lacks are repaired, each distinct one once. Repeated queries of an id count once; a query without terms has no row. Of each query a task passes
+    on its ``k`` best only, so a frequent word is no hot key of the ranking.
+    """
+    from pyspark.sql import Window
+
+    words = text.content_tokens(F.col("raw"))
+    asked = queries.where(F.col("query_id").isNotNull() & F.col("raw").isNotNull()).select("query_id", F.explode(terms(words) if index.stemmed else words).alias("word")).distinct()
+    fixes = staged(repairs(index, asked))
+    asked = asked.join(fixes, "word", "left").select("query_id", F.coalesce("fix", "word").alias("term")).distinct()
+    asked = staged(asked.join(index.vocab.select("term", "df"), "term"))
+    rows = index.postings.select("term", "doc_id", "tf", "length").join(asked, "term")
+    best = _summed(index, rows, ["query_id", "doc_id"], method, k1, b)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*_order()))).where(F.col("rank") <= k)
+    return with_meta(index, best).select("query_id", "rank", "doc_id", "score", "url", "title")
 
 
 def search_page(index: Index, raw: str, method: str = "bm25", k: int = 10) -> DataFrame:
-    """Results with snippets: rank, doc_id, score, url, title, snippet, phrase_fallback."""
+    """Results with snippets: rank, doc_id, score, url, title, snippet, phrase_fallback, corrections (word>term, joined by a bar)."""
     from pyspark.sql import Window
 
     found = search(index, raw, method, k)
     w = Window.orderBy(*_order())  # over at most k rows
     rows = with_snippets(index, found.results, raw).withColumn("rank", F.row_number().over(w))
-    return rows.select("rank", "doc_id", F.round("score", 6).alias("score"), "url", "title", "snippet", F.lit(found.phrase_fallback).alias("phrase_fallback"))
+    return rows.select("rank", "doc_id", F.round("score", 6).alias("score"), "url", "title", "snippet", F.lit(found.phrase_fallback).alias("phrase_fallback"), F.lit("|".join(f"{w}>{t}" for w, t in sorted(found.corrections.items()))).alias("corrections"))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,10 +18,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set (local tests)."""
+    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set and all runs in this process.
+
+    On a cluster without that setting there is no folder that all executors see, so that is an error.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="lodestem-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -40,9 +48,19 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged() -> None:
-    """Delete every staged table of this process."""
-    while _written:
+@contextmanager
+def staging_area() -> Iterator[None]:
+    """Tables staged within go when it ends: for a result that is written or collected inside."""
+    kept = len(_written)
+    try:
+        yield
+    finally:
+        drop_staged(kept)
+
+
+def drop_staged(kept: int = 0) -> None:
+    """Delete the staged tables of this process but for the first ``kept``."""
+    while len(_written) > kept:
         spark, path = _written.pop()
         try:
             jvm = spark.sparkContext._jvm

@@ -64,6 +64,60 @@ def test_repairs(spark, word, fix):
     assert rt.corrections(index, [word]) == ({word: fix} if fix else {})
 
 
+def test_repairs_against_brute_force(spark):
+    import random
+
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abc") for _ in range(n))
+    vocab = sorted({word(rng.randrange(2, 9)) for _ in range(150)})
+    index = build(spark, {1: " ".join(vocab)})
+    vocab = [t for t in vocab if t in {r["term"] for r in index.vocab.collect()}]
+    asked = sorted({word(rng.randrange(2, 10)) for _ in range(60)} | {"", "ab"})
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for limit in (None, 0, 1, 3):
+        want = {}
+        for w in asked:
+            cap = limit if limit is not None else 0 if len(w) <= 3 else 1 if len(w) <= 5 else 2
+            near = sorted((d, len(t), t) for t in vocab if (d := distance(w, t)) <= cap)
+            if w not in vocab and cap > 0 and near:
+                want[w] = near[0][2]
+        df = spark.createDataFrame([(w,) for w in asked], "word string")
+        assert {r["word"]: r["fix"] for r in rt.repairs(index, df, limit).collect()} == want
+
+
+def test_batch(small, spark):
+    rows = [(1, "Red OWL, the red owl"), (2, "redd"), (3, "zzz"), (4, None), (5, ""), (6, "fox"), (6, "fox"), (None, "fox"), (7, "ttred logg")]
+    got = rt.search_batch(small, spark.createDataFrame([(*r, "x") for r in rows], "query_id int, raw string, doc_id string"), k=2).collect()
+    assert {(r["query_id"], r["rank"]): (r["doc_id"], round(r["score"], 6)) for r in got} == {
+        (1, 1): (1, 1.666723), (1, 2): (3, 1.153323), (6, 1): (2, 0.756711), (6, 2): (1, 0.684928),
+        (2, 1): (3, 1.153323), (2, 2): (1, 0.981795), (7, 1): (3, 1.153323), (7, 2): (4, 0.798557),  # redd, logg repaired
+    }
+    assert rt.search_batch(small, spark.createDataFrame([], "query_id int, raw string")).count() == 0
+
+
+def test_pages_are_indexed_under_their_stored_title(spark):
+    rows = [(1, "u1", "Stored", "<title>own</title>fox", 1), (2, "u2", None, "<title>own</title>owl", 1), (3, "u3", None, "<title></title>red", 1), (4, "u4", None, None, 1), (2, "u2", None, "<title>own</title>owl", 2)]
+    pages = spark.createDataFrame(rows, "id long, url string, title string, html string, crawled_at int")
+    assert {r["doc_id"]: (r["title"], r["text"]) for r in ix.from_pages(pages).collect()} == {1: ("Stored", "own fox"), 2: ("own", "own owl"), 3: ("u3", "red"), 4: ("u4", "")}
+    assert ix.from_pages(pages.drop("title")).where("doc_id = 1").first()["title"] == "own"
+
+
+def test_a_frequent_term_is_cut(spark):
+    index = build(spark, {i: f"hot word{i}" for i in range(4000)})
+    from pyspark.sql.functions import spark_partition_id
+
+    parts = index.postings.where("term = 'hot'").select(spark_partition_id().alias("p")).distinct().count()
+    assert parts > 1 and index.postings.where("term = 'hot'").count() == 4000
+
+
 def test_parse(small):
     q = rt.parse('say "fox owl" "red log" now "open', small, repair=False)
     assert q.phrases == [["fox", "owl"], ["red", "log"]] and q.free == ["say", "now", "open"]
@@ -123,4 +177,4 @@ def test_command_line(spark, tmp_path, capsys):
     for args in (["stats"], ["lookup", "reader"], ["search", "--b", "0.5", "redaers"]):
         main([args[0], "--index", where, *args[1:]], spark)
     out = capsys.readouterr().out
-    assert "--- tfidf, repaired" in out and "--- bm25" in out
+    assert "--- tfidf, " in out and ", repaired" in out and "--- bm25" in out
