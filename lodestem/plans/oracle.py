@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from lodestem.functions.text import STOPWORDS
-from lodestem.operators.dense import WHITE
 from lodestem.plans.queries import PHRASE, TERMS, TYPOS
 
-_WHITE = "||".join(f"chr({ord(c)})" for c in WHITE)
+#: White space by code point, and the words that are not indexed: written out here, so that the library's own lists are checked.
+_WHITE = "||".join(f"chr({c})" for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288))
+_STOP_WORDS = """
+a about above after again against all am an and any are as at be because been before being below between both but by
+cannot could did do does doing down during each few for from further had has have having he her here hers herself him
+himself his how i if in into is it its itself me more most my myself no nor not of off on once only or other ought our
+ours ourselves out over own same she should so some such than that the their theirs them themselves then there these
+they this those through to too under until up very was we were what when where which while who whom why with would you
+your yours yourself yourselves
+""".split()
 #: A term in lower case without surrounding white space.
 CLEAN = f"lower(trim(term, {_WHITE}))"
 _CLASS = f"'['||{_WHITE}||']+'"
 _NORMAL = f"trim(regexp_replace(coalesce(text, ''), {_CLASS}, ' ', 'g'), ' ')"
-_STOP = "[" + ", ".join(f"'{w}'" for w in STOPWORDS) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in _STOP_WORDS) + "]"
 
 
 def _tokens(text: str) -> str:
@@ -40,23 +47,29 @@ def _domain(x: str) -> str:
 
 
 #: The unstemmed index of the documents: first copies, analysed, with positions.
-_INDEX = f"""WITH d AS MATERIALIZED (SELECT doc_id, 'doc://'||coalesce(source, '')||'/'||doc_id AS url, {_NORMAL} AS text FROM documents),
+_BASE = """WITH d AS MATERIALIZED (SELECT doc_id, 'doc://'||coalesce(source, '')||'/'||doc_id AS url, {normal} AS text FROM documents),
 k AS (SELECT min(doc_id) AS doc_id FROM d GROUP BY md5(text)),
-x AS MATERIALIZED (SELECT d.*, {_kept('text')} AS t FROM d JOIN k USING (doc_id)),
+x AS MATERIALIZED (SELECT d.*, {kept} AS t FROM d JOIN k USING (doc_id)),
 meta AS (SELECT doc_id, url, url AS title, CAST(len(t) AS INTEGER) AS length, substring(text, 1, 1200) AS snippet_text FROM x),
-w AS (SELECT doc_id, len(t) AS length, unnest(t) AS term, unnest(range(len(t))) AS pos FROM x),
+w AS (SELECT doc_id, len(t) AS length, {term} AS term, unnest(range(len(t))) AS pos FROM x),
 p AS MATERIALIZED (SELECT term, doc_id, CAST(count(*) AS INTEGER) AS tf, list(CAST(pos AS INTEGER) ORDER BY pos) AS positions, any_value(length) AS length FROM w GROUP BY term, doc_id),
 v AS MATERIALIZED (SELECT term, length(term) AS len, count(*) AS df FROM p GROUP BY term),
 g AS (SELECT CAST(count(*) AS DOUBLE) AS n, coalesce(avg(length), 0) AS average FROM meta)"""
+_INDEX = _BASE.format(normal=_NORMAL, kept=_kept("text"), term="unnest(t)")
+#: The stemmed index as far as it concerns two words, whose plurals are these.
+_STEMMED = _BASE.format(normal=_NORMAL, kept=_kept("text"), term="unnest(list_transform(t, lambda x: CASE x WHEN 'glaciers' THEN 'glacier' WHEN 'reservoirs' THEN 'reservoir' ELSE x END))")
 
 
-def _scores(terms=TERMS, method: str = "bm25", k1: float = 1.5, b: float = 0.3) -> str:
-    weight = (
+def _weight(method: str = "bm25", k1: float = 1.5, b: float = 0.3) -> str:
+    return (
         "(1 + ln(CAST(tf AS DOUBLE))) * ln(n / (df + 1))"
         if method == "tfidf"
         else f"ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * {k1 + 1}::DOUBLE / (tf + {k1}::DOUBLE * ({1 - b}::DOUBLE + {b}::DOUBLE * length / (CASE WHEN average > 0 THEN average ELSE 1 END)))"
     )
-    return f"SELECT doc_id, sum({weight}) AS score FROM p JOIN v USING (term) CROSS JOIN g WHERE term IN {_in(terms)} GROUP BY doc_id"
+
+
+def _scores(terms=TERMS, method: str = "bm25", k1: float = 1.5, b: float = 0.3) -> str:
+    return f"SELECT doc_id, sum({_weight(method, k1, b)}) AS score FROM p JOIN v USING (term) CROSS JOIN g WHERE term IN {_in(terms)} GROUP BY doc_id"
 
 
 def _best(scores: str, k: int = 10) -> str:
@@ -84,9 +97,10 @@ WHERE doc_id IN ({_phrase(PHRASE)}) ORDER BY round(score, 9) DESC, doc_id LIMIT
 
 
 def _snippet(words) -> str:
-    """On ASCII texts."""
+    """A word is whole where no letter, mark, digit or connector stands beside it, in any script."""
     if words:
-        pattern = "(?s)^(.*?)\\b(?:" + "|".join(words) + ")\\b"
+        beside = "[^\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]"
+        pattern = f"(?s)^((?:.*?{beside})??)(?:" + "|".join(words) + f")(?:{beside}|$)"
         best = f"CASE WHEN regexp_matches(lower(s), '{pattern}') THEN length(regexp_extract(lower(s), '{pattern}', 1)) END"
     else:
         best = "CAST(NULL AS BIGINT)"
@@ -136,7 +150,7 @@ SQL: dict[str, str] = {
     "rank_compare": f"""{_INDEX}, a AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS tfidf_rank, round(score, 6) AS tfidf_score FROM ({_scores(method='tfidf')}) ORDER BY tfidf_rank LIMIT 10),
 b AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS bm25_rank, round(score, 6) AS bm25_score FROM ({_scores()}) ORDER BY bm25_rank LIMIT 10)
 SELECT doc_id, tfidf_rank, tfidf_score, bm25_rank, bm25_score FROM a FULL JOIN b USING (doc_id)""",
-    "levenshtein_pairs": f"{_INDEX} SELECT word, term, CAST(levenshtein(word, term) AS INTEGER) AS distance FROM {_TYPOS} JOIN v ON abs(len - length(word)) <= 2 WHERE levenshtein(word, term) <= 3",
+    "levenshtein_pairs": f"{_INDEX} SELECT word, term, CAST(levenshtein(word, term) AS INTEGER) AS distance FROM {_TYPOS} JOIN v ON abs(len - length(word)) <= 3 WHERE levenshtein(word, term) <= 3",
     "fuzzy_cap": f"{_INDEX} SELECT DISTINCT CAST(len AS INTEGER) AS len, CAST(CASE WHEN len <= 3 THEN 0 WHEN len <= 5 THEN 1 ELSE 2 END AS INTEGER) AS cap FROM v",
     "fuzzy_correct": f"{_INDEX} {_repairs(_TYPOS)}",
     "correct_terms": f"{_INDEX}, q0 AS (SELECT DISTINCT unnest({_kept('text')}) AS word FROM benchmark), r AS ({_repairs('q0')}) SELECT word, coalesce(fix, word) AS term FROM q0 LEFT JOIN r USING (word)",
@@ -150,8 +164,26 @@ SELECT doc_id, tfidf_rank, tfidf_score, bm25_rank, bm25_score FROM a FULL JOIN b
     "search_phrase_corpus": f"{_INDEX} {_POOL_PHRASE.replace('LIMIT 50', '')}",
     "search_phrase_fallback": f"{_INDEX} SELECT *, true AS phrase_fallback FROM ({_best(_scores(('reservoir', 'glacier', 'orchestra')))})",
     "search_typo": f"{_INDEX}, r AS ({_repairs(_TYPOS)}) SELECT *, (SELECT string_agg(word||'>'||fix, '|' ORDER BY word) FROM r WHERE word IN ('glaciar', 'reservoi')) AS corrections FROM ({_best(_scores(('glacier', 'reservoir')))})",
-    "snippet_hit": f"{_INDEX} SELECT * FROM ({_snippet(('glacier', 'reader'))}) WHERE doc_id IN (SELECT doc_id FROM meta WHERE NOT regexp_matches(coalesce(snippet_text, ''), '[^\\x00-\\x7f]'))",
+    "snippet_hit": f"{_INDEX} {_snippet(('glacier', 'reader'))}",
     "snippet_miss": f"{_INDEX} {_snippet(())}",
+    "search_nothing": f"{_INDEX} SELECT doc_id, CAST(NULL AS DOUBLE) AS score, url, title FROM meta WHERE false",
+    "search_page": f"""{_INDEX}, b AS ({_best(_scores(('glacier', 'reservoir')))}), s AS ({_snippet(('glacier', 'reservoir'))})
+SELECT CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score, url, title, snippet, false AS phrase_fallback, '' AS corrections FROM b JOIN s USING (doc_id)""",
+    "stem_cases": "SELECT word, stem FROM (VALUES ('caresses', 'caress'), ('ponies', 'poni'), ('caress', 'caress'), ('cats', 'cat'), ('agreed', 'agre'), ('plastered', 'plaster'), ('motoring', 'motor'), "
+    "('sing', 'sing'), ('conflated', 'conflat'), ('hopping', 'hop'), ('falling', 'fall'), ('hissing', 'hiss'), ('filing', 'file'), ('failing', 'fail'), ('happy', 'happi'), ('relational', 'relat'), "
+    "('conditional', 'condit'), ('rational', 'ration'), ('digitizer', 'digit'), ('operator', 'oper'), ('feudalism', 'feudal'), ('hopefulness', 'hope'), ('formality', 'formal'), ('triplicate', 'triplic'), "
+    "('formative', 'form'), ('electrical', 'electr'), ('goodness', 'good'), ('revival', 'reviv'), ('allowance', 'allow'), ('inference', 'infer'), ('adjustable', 'adjust'), ('defensible', 'defens'), "
+    "('irritant', 'irrit'), ('replacement', 'replac'), ('adoption', 'adopt'), ('effective', 'effect'), ('probate', 'probat'), ('rate', 'rate'), ('controlling', 'control'), ('rolling', 'roll'), "
+    "('glaciers', 'glacier'), ('reservoirs', 'reservoir')) AS t(word, stem)",
+    "stemmed_postings": f"{_STEMMED} SELECT term, doc_id, tf, array_to_string(positions, ' ') AS positions, CAST(length AS INTEGER) AS length FROM p WHERE term IN ('glacier', 'reservoir')",
+    "search_stemmed": f"{_STEMMED} {_best(_scores(('glacier', 'reservoir')))}",
+    "search_batch": f"""{_INDEX}, q0 AS (SELECT DISTINCT item_id AS query_id, unnest({_kept('text')}) AS word FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+r AS ({_repairs('(SELECT DISTINCT word FROM q0)')}), q1 AS (SELECT DISTINCT query_id, coalesce(fix, word) AS term FROM q0 LEFT JOIN r USING (word)),
+s AS (SELECT query_id, doc_id, sum({_weight()}) AS score FROM q1 JOIN p USING (term) JOIN v USING (term) CROSS JOIN g GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM s
+QUALIFY rank <= 10""",
+    "robots_gate": f"""SELECT DISTINCT url, CASE {_domain('url')} WHEN 'boregall.example' THEN false WHEN 'velorwen.example' THEN NOT coalesce(starts_with(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^#]*)', 1), '/wiki/'), false) ELSE true END AS allowed
+FROM pages""",
     "crawl_stats": "SELECT (SELECT count(DISTINCT id) FROM pages) AS n_pages, (SELECT count(*) FROM links) AS n_links",
     "latest_pages": "SELECT DISTINCT id, url, title FROM pages ORDER BY id DESC LIMIT 5",
     "p5_found": f"WITH t AS (SELECT {CLEAN} AS term FROM postings) SELECT term FROM t WHERE term <> '' GROUP BY term HAVING count(*) >= 0.015 * (SELECT count(*) FROM t WHERE term <> '')",

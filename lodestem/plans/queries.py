@@ -303,6 +303,37 @@ def search_pages_stemmed(spark, folder):
     return rt.search_page(ix.cached(spark, folder, "pages", True), "glaciers rivers")
 
 
+#: Words with their index terms: plurals, endings, doubled letters and agent nouns.
+STEMS = {
+    "caresses": "caress", "ponies": "poni", "caress": "caress", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "conflated": "conflat",
+    "hopping": "hop", "falling": "fall", "hissing": "hiss", "filing": "file", "failing": "fail", "happy": "happi", "relational": "relat", "conditional": "condit", "rational": "ration",
+    "digitizer": "digit", "operator": "oper", "feudalism": "feudal", "hopefulness": "hope", "formality": "formal", "triplicate": "triplic", "formative": "form", "electrical": "electr",
+    "goodness": "good", "revival": "reviv", "allowance": "allow", "inference": "infer", "adjustable": "adjust", "defensible": "defens", "irritant": "irrit", "replacement": "replac",
+    "adoption": "adopt", "effective": "effect", "probate": "probat", "rate": "rate", "controlling": "control", "rolling": "roll", "glaciers": "glacier", "reservoirs": "reservoir",
+}
+
+
+def stem_cases(spark, folder):
+    words = spark.createDataFrame([(w,) for w in STEMS], "word string")
+    return words.select("word", F.get(stems.terms(F.array("word")), 0).alias("stem"))
+
+
+def stemmed_postings(spark, folder):
+    """What the stemmed index holds of two words and their plurals."""
+    p = ix.cached(spark, folder, stemmed=True).postings.where(F.col("term").isin("glacier", "reservoir"))
+    return p.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), " ").alias("positions"), "length")
+
+
+def search_stemmed(spark, folder):
+    return _top(rt.search(ix.cached(spark, folder, stemmed=True), "the reservoirs and glaciers").results)
+
+
+def search_batch(spark, folder):
+    """Every benchmark item as a query."""
+    asked = table(spark, folder, "benchmark", "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw"))
+    return _top(rt.search_batch(_index(spark, folder), asked).select("query_id", "rank", "doc_id", "score"))
+
+
 def _seeds(spark, folder):
     first = table(spark, folder, "pages", "id", "url").where("id <= 3").select("id", "url").distinct().orderBy("id").collect()
     return tuple(r["url"] for r in first)
@@ -349,7 +380,7 @@ QUERIES = {
         normalize_url, url_domain, domain_filter, doc_meta, postings, positions_codec, positions_roundtrip, total_docs, avg_doc_length, vocab_size, vocabulary, doc_frequency, top_terms,
         index_stats, postings_lookup, doc_meta_lookup, term_positions_in_doc, boolean_and, boolean_and_first, boolean_or, idf_table, tf_weight_table, bm25_idf_table, tfidf_scores,
         bm25_scores, tfidf_topk, bm25_topk, bm25_params, rank_compare, levenshtein_pairs, fuzzy_cap, fuzzy_correct, correct_terms, phrase_extract, parse_query, phrase_match, phrase_multi,
-        search_plain, search_tfidf, search_phrase, search_phrase_corpus, search_phrase_fallback, search_typo, search_nothing, snippet_hit, snippet_miss, search_page, search_pages_stemmed,
+        search_plain, search_tfidf, search_phrase, search_phrase_corpus, search_phrase_fallback, search_typo, search_nothing, snippet_hit, snippet_miss, search_page, stem_cases, stemmed_postings, search_stemmed, search_batch, search_pages_stemmed,
         crawl_bfs, crawl_stats, latest_pages, robots_gate, p5_found, p5_totals,
     )
 } | {"flagship": flagship}
