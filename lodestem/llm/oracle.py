@@ -24,7 +24,19 @@ j AS (SELECT p.doc_id, p.term, CAST(f AS BIGINT) AS f, n_docs, length, CASE WHEN
  CAST(f AS DOUBLE) AS a, CAST(length - f AS DOUBLE) AS b, CAST(n_occurrences - f AS DOUBLE) AS c, CAST(corpus - length - (n_occurrences - f) AS DOUBLE) AS d
  FROM p JOIN s USING (term) CROSS JOIN n LEFT JOIN l USING (doc_id))"""
 
+
+
+def _runs(table: str, key: str, text: str, n: int) -> str:
+    """Distinct runs of ``n`` consecutive words of each text."""
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i+{n - 1}], ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i
+FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z0-9]+') AS w FROM {table} WHERE {key} IS NOT NULL AND {text} IS NOT NULL))"""
+
+
 SQL: dict[str, str] = {
+    "p6_found": f"""WITH s AS MATERIALIZED ({_runs('doc_meta', 'doc_id', 'snippet_text', 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a AS doc_id_a, b AS doc_id_b FROM b JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 2 * k >= u.n + v.n - k""",
+    "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id', 'text', 10)}) JOIN ({_runs('benchmark', 'item_id', 'text', 10)}) USING (s)",
     "p1_found": f"WITH {_PAIRS} SELECT term, mark FROM m WHERE mark IS NOT NULL",
     "p1_frequencies": f"WITH {_PAIRS} SELECT term, n_occurrences, n_docs, mark FROM m",
     "p3_found": f"{_SCORED} SELECT doc_id, term FROM j WHERE score >= 0.12",
