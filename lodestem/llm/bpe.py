@@ -113,15 +113,27 @@ class Encoder:
             extend(got)
 
 
-def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
-    """``key`` and ``ids`` of every row. No shuffle; other columns are never read."""
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str | None) -> Encoder:
+    """This process's encoder of a vocabulary."""
     path = vocabulary or default_vocabulary()
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
+def encode(df: DataFrame, key: str, text: str, vocabulary: str | None = None) -> DataFrame:
+    """``key`` and ``ids`` of every row. No shuffle; other columns are never read. Each worker looks up the installed
+    vocabulary itself (or takes ``vocabulary``, a file that all have) and keeps its encoder from task to task."""
     field = df.schema[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        from lodestem.llm import bpe as own  # the worker's module, not a copy of this one's values
+
         for whole in batches:
-            encoder = encoder or Encoder(path)
+            encoder = own.encoder_of(vocabulary)
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
                 out, ends = array("i"), [0]
