@@ -115,15 +115,16 @@ def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((x for r in rows for x in r), kind.to_pandas_dtype(), offsets[-1])))
 
 
-def _parsed(pages: DataFrame) -> DataFrame:
-    """Rows of pages with text: ``id``, ``site``, ``page`` (identity) and the lists of :func:`page_paths`. No shuffle."""
+def _parsed(pages: DataFrame, texts: bool = False) -> DataFrame:
+    """Rows of pages with text: ``id``, ``site``, ``page`` (identity), ``title`` and the lists of :func:`page_paths`; with
+    ``texts`` the visible text of the lines that hold places too (``at``, ``text``). No shuffle."""
     lists = _ELEMENTS | _PLACES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 256):
                 b = whole.slice(start, 256)
-                ids, sites, marks, titles = [], [], [], []
+                ids, sites, marks, titles, numbers, visible = [], [], [], [], [], []
                 columns: dict[str, list[list[int]]] = {c: [] for c in lists}
                 for i, url, source in zip(*(c.to_pylist() for c in b.columns)):
                     if not source:
@@ -135,10 +136,16 @@ def _parsed(pages: DataFrame) -> DataFrame:
                     ids.append(i), sites.append(_signed(xxhash.xxh64_intdigest(site))), marks.append(mark), titles.append(title)
                     for c, v in row.items():
                         columns[c].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sites, pa.int64()), pa.array(marks, pa.int64()), pa.array(titles, pa.int64()), *(_lists(v, lists[c]) for c, v in columns.items())], names=["id", "site", "page", "title", *lists])
+                    if texts:
+                        lines = markup.visible_lines(source)
+                        numbers.append(sorted(set(row["line"])))
+                        visible.append([" ".join(lines[n].split()) for n in numbers[-1]])
+                arrays = [pa.array(ids, pa.int64()), pa.array(sites, pa.int64()), pa.array(marks, pa.int64()), pa.array(titles, pa.int64()), *(_lists(v, lists[c]) for c, v in columns.items())]
+                arrays += [_lists(numbers, pa.int32()), pa.array(visible, pa.list_(pa.string()))] if texts else []
+                yield pa.RecordBatch.from_arrays(arrays, names=["id", "site", "page", "title", *lists, *(("at", "text") if texts else ())])
 
     number = {pa.int32(): "int", pa.int64(): "long"}
-    schema = "id long, site long, page long, title long, " + ", ".join(f"{c} array<{number[t]}>" for c, t in lists.items())
+    schema = "id long, site long, page long, title long, " + ", ".join(f"{c} array<{number[t]}>" for c, t in lists.items()) + (", at array<int>, text array<string>" if texts else "")
     return pages.select("id", "url", "html").where(F.col("id").isNotNull() & F.col("html").isNotNull()).mapInArrow(run, schema)
 
 
@@ -315,6 +322,21 @@ def main_lines(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
     shuffle of chosen lines by site and letters follows. A line met under ``repeated`` heads within a task leaves it as
     at most that many rows, so no site and no line gathers its pages in one task.
     """
+    return _main_lines(staged(_parsed(pages)), repeated)
+
+
+def main_text(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
+    """``id``, ``text``: the visible text of the main body's lines, one row for each id; empty for a page without any, null for
+    null. Lines are taken from the staged places, so no HTML is shuffled or read twice."""
+    parsed = staged(_parsed(pages, True))
+    named = _main_lines(parsed, repeated).groupBy("id").agg(F.collect_set("line_no").alias("named"))  # the lines of one page
+    kept = F.filter(F.arrays_zip("at", "text"), lambda x: F.array_contains("named", x["at"]))
+    texts = parsed.select("id", "at", "text").join(named, "id").groupBy("id").agg(F.max(F.array_join(F.transform(kept, lambda x: x["text"]), "\n")).alias("text"))
+    every = pages.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(F.col("html").isNotNull()).alias("is"))
+    return every.join(texts, "id", "left").select("id", F.coalesce("text", F.when(F.col("is"), "")).alias("text"))
+
+
+def _main_lines(parsed: DataFrame, repeated: int) -> DataFrame:
 
     def keep(t: dict[str, np.ndarray]) -> np.ndarray:
         order = np.lexsort((t["head"], t["key"]))
@@ -327,6 +349,5 @@ def main_lines(pages: DataFrame, repeated: int = REPEATED) -> DataFrame:
         wanted[order] = heads[group] < repeated
         return wanted & (t["line_no"] >= 0)
 
-    parsed = staged(_parsed(pages))
     scores = staged(path_scores(parsed))
     return reduce_sorted(_selected(parsed, scores, repeated), "key", keep, ["id", "line_no"]).distinct()

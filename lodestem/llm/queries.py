@@ -42,8 +42,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_text(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    return sitelines.only_lines(pages, mainbody.main_lines(pages))
+    return mainbody.main_text(table(spark, folder, "pages", "id", "url", "html"))
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +59,7 @@ def p6_classes(spark: SparkSession, folder: str) -> DataFrame:
 def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Every page with its group, by the whole text of its article; a page without like ones is a group of its own."""
     pages = table(spark, folder, "pages", "id", "url", "html")
-    articles = staged(sitelines.only_lines(pages, mainbody.main_lines(pages)))
+    articles = staged(mainbody.main_text(pages))
     groups = near.similar_groups(articles, "id", "text")
     every = articles.where(F.col("id").isNotNull()).select("id").distinct().join(groups, "id", "left")
     return every.select(F.col("id").alias("doc_id"), F.coalesce("group_id", "id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestem.llm import mainbody, markup, sitelines
-from lodestem.llm.mainbody import main_lines, page_paths
+from lodestem.llm.mainbody import main_lines, main_text, page_paths
 from lodestem.llm.minhash import signatures
 from lodestem.llm.sitelines import clean_pages, masked, only_lines, repeated_lines, without_repeated
 
@@ -134,7 +134,7 @@ def test_clean_pages_is_the_same_without_a_shuffle(spark, monkeypatch):
 
 
 def test_no_lines(spark):
-    assert repeated_lines(table(spark, [])).count() == 0 == main_lines(table(spark, [])).count()
+    assert repeated_lines(table(spark, [])).count() == 0 == main_lines(table(spark, [])).count() == main_text(table(spark, [])).count()
 
 
 PAGE = """<html><head><title>Small valley of Aron - Site</title></head><body>
@@ -193,6 +193,7 @@ def test_main_lines(spark, monkeypatch):
         assert lines_of(got, i) == ARTICLE  # without the prompt on line 9
     assert lines_of(got, 100) == sorted([*ARTICLE, 9])  # copies don't drive each other out
     assert not {50, 51, 52} & {i for i, _ in once}
+    assert found(main_text(pages), "id", "text") == found(only_lines(pages, got), "id", "text") and len(found(main_text(pages), "id", "text")) == 42
     monkeypatch.setattr(mainbody, "BROADCAST_PATHS", 0)
     assert found(main_lines(pages), "id", "line_no") == once
     monkeypatch.setattr(mainbody, "HOT_SITE", 2.0)
