@@ -12,7 +12,7 @@ then is undone in every token of the record that it makes likelier, short ones t
 author types, are garbled even where no chain can be undone: their original is lost.
 
 Garbled sequences only cited are no case, told by their form: a token that stands for a single character, and is quoted or
-has this character, alone, beside it on its line.
+has this character, alone, among the ``_NEAR`` tokens before or behind it on its line.
 """
 
 from __future__ import annotations
@@ -53,8 +53,8 @@ _SEVERAL = re.compile(r"[^\x00-\x7f]{2}")  # as a character of several bytes lea
 _LOST = re.compile("�")
 _CONTROL = re.compile("[\x80-\x84\x86-\x9f]")
 _QUOTES = {"'": "'", "`": "`", "«": "»", "“": "”", '"': '"', "‘": "’", "„": "“", "(": ")"}
-#: Characters of the line looked at on both sides of a cited token.
-_NEAR = 60
+#: Tokens of the line looked at on both sides of a cited one, and the characters that hold them.
+_NEAR, _NEAR_SIZE = 3, 60
 _UTF8 = [k for k, c in enumerate(CHAINS) if c[0] == "utf-8"]
 _SINGLE = [k for k, c in enumerate(CHAINS) if c[0] != "utf-8"]
 
@@ -223,9 +223,9 @@ def _cited(text: str, token: str) -> bool:
     if quoted or not stands:
         return bool(stands)
     at = text.find(token)
-    line = text[max(0, at - _NEAR) : at + len(token) + _NEAR].replace("\r", "\n")
-    start, end = line.rfind("\n", 0, min(at, _NEAR)) + 1, line.find("\n", min(at, _NEAR))
-    return any(x in stands or x.strip(".,;:!?\"'`«»“”‘’„()") in stands for x in _TOKENS(line[start : end if end >= 0 else None]))
+    before = re.split(r"[\r\n]", text[max(0, at - _NEAR_SIZE) : at])[-1]
+    behind = re.split(r"[\r\n]", text[at + len(token) : at + len(token) + _NEAR_SIZE])[0]
+    return any(x in stands or x.strip(".,;:!?\"'`«»“”‘’„()") in stands for x in _TOKENS(before)[-_NEAR:] + _TOKENS(behind)[:_NEAR])
 
 
 def repaired(text: str, model: Classifier) -> tuple[bool, str, int, bool]:
