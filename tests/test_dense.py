@@ -79,3 +79,22 @@ def test_without_repeats(spark):
     got = dense.without_repeats(df).collect()
     assert len(got) <= 12 and {tuple(r) for r in got} == {(a, b) for a in range(3) for b in range(2)}
     assert dense.without_repeats(df.where("false")).count() == 0
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster(spark, tmp_path):
+    import os
+    from types import SimpleNamespace
+
+    import pytest
+
+    from lodestem.sources import staging
+
+    none = SimpleNamespace(get=lambda *_: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            staging.shared_dir(SimpleNamespace(sparkContext=SimpleNamespace(master=master, getConf=lambda: none), conf=none))
+    with staging.staging_area():
+        df = staging.staged(spark.range(3))
+        path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.isdir(path) and df.count() == 3
+    assert not os.path.exists(path)
