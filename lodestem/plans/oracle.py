@@ -184,6 +184,12 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sc
 QUALIFY rank <= 10""",
     "robots_gate": f"""SELECT DISTINCT url, CASE {_domain('url')} WHEN 'boregall.example' THEN false WHEN 'velorwen.example' THEN NOT coalesce(starts_with(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^#]*)', 1), '/wiki/'), false) ELSE true END AS allowed
 FROM pages""",
+    # of character references, those that titles hold
+    "page_title": """WITH p AS (SELECT DISTINCT id, url, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title', 1) AS t FROM pages)
+SELECT id, coalesce(nullif(trim(replace(replace(replace(t, '&ndash;', '–'), '&eacute;', 'é'), '&#252;', 'ü'), ' '||chr(9)||chr(10)||chr(13)), ''), url) AS title FROM p""",
+    "url_cases": "SELECT url, normal, domain FROM (VALUES ('https://A.com:443/x/#foo', 'https://a.com:443/x', 'a.com:443'), ('http://a.com/p;v=1/?q=2', 'http://a.com/p;v=1?q=2', 'a.com'), "
+    "('HTTP://a.com', 'http://a.com/', 'a.com'), ('https://a.com//', 'https://a.com/', 'a.com'), ('http://a.com/a;b;c?x=1#f', 'http://a.com/a?x=1', 'a.com'), ('http://a.com?x=1', 'http://a.com/?x=1', 'a.com'), "
+    "('http://U:P@Ho.st/A/B///', 'http://u:p@ho.st/A/B', 'u:p@ho.st'), ('https://a.com/x?', 'https://a.com/x', 'a.com'), ('http://a.com/x/;p', 'http://a.com/x', 'a.com')) AS t(url, normal, domain)",
     "crawl_stats": "SELECT (SELECT count(DISTINCT id) FROM pages) AS n_pages, (SELECT count(*) FROM links) AS n_links",
     "latest_pages": "SELECT DISTINCT id, url, title FROM pages ORDER BY id DESC LIMIT 5",
     "p5_found": f"WITH t AS (SELECT {CLEAN} AS term FROM postings) SELECT term FROM t WHERE term <> '' GROUP BY term HAVING count(*) >= 0.015 * (SELECT count(*) FROM t WHERE term <> '')",

@@ -313,6 +313,13 @@ STEMS = {
 }
 
 
+def url_cases(spark, folder):
+    """Addresses whose normal forms are known."""
+    cases = ("https://A.com:443/x/#foo", "http://a.com/p;v=1/?q=2", "HTTP://a.com", "https://a.com//", "http://a.com/a;b;c?x=1#f", "http://a.com?x=1", "http://U:P@Ho.st/A/B///", "https://a.com/x?", "http://a.com/x/;p")
+    df = spark.createDataFrame([(u,) for u in cases], "url string")
+    return df.select("url", urls.normalize_url(F.col("url")).alias("normal"), urls.url_domain(F.col("url")).alias("domain"))
+
+
 def stem_cases(spark, folder):
     words = spark.createDataFrame([(w,) for w in STEMS], "word string")
     return words.select("word", F.get(stems.terms(F.array("word")), 0).alias("stem"))
@@ -380,7 +387,7 @@ QUERIES = {
         normalize_url, url_domain, domain_filter, doc_meta, postings, positions_codec, positions_roundtrip, total_docs, avg_doc_length, vocab_size, vocabulary, doc_frequency, top_terms,
         index_stats, postings_lookup, doc_meta_lookup, term_positions_in_doc, boolean_and, boolean_and_first, boolean_or, idf_table, tf_weight_table, bm25_idf_table, tfidf_scores,
         bm25_scores, tfidf_topk, bm25_topk, bm25_params, rank_compare, levenshtein_pairs, fuzzy_cap, fuzzy_correct, correct_terms, phrase_extract, parse_query, phrase_match, phrase_multi,
-        search_plain, search_tfidf, search_phrase, search_phrase_corpus, search_phrase_fallback, search_typo, search_nothing, snippet_hit, snippet_miss, search_page, stem_cases, stemmed_postings, search_stemmed, search_batch, search_pages_stemmed,
+        search_plain, search_tfidf, search_phrase, search_phrase_corpus, search_phrase_fallback, search_typo, search_nothing, snippet_hit, snippet_miss, search_page, url_cases, stem_cases, stemmed_postings, search_stemmed, search_batch, search_pages_stemmed,
         crawl_bfs, crawl_stats, latest_pages, robots_gate, p5_found, p5_totals,
     )
 } | {"flagship": flagship}
