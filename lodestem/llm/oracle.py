@@ -32,8 +32,29 @@ def _runs(table: str, key: str, text: str, n: int) -> str:
 FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z0-9]+') AS w FROM {table} WHERE {key} IS NOT NULL AND {text} IS NOT NULL))"""
 
 
+def _newlines(pattern: str, text: str) -> str:
+    """``text`` with each match of a pattern replaced by its line ends."""
+    return f"list_reduce(list_prepend({text}, regexp_extract_all({text}, '{pattern}')), lambda a, x: replace(a, x, repeat(chr(10), length(x) - length(replace(x, chr(10), '')))))"
+
+
+_HIDDEN = "(?is)<!--.*?(?:-->|\\z)|<script\\b[^>]*>.*?(?:</script\\s*>|\\z)|<style\\b[^>]*>.*?(?:</style\\s*>|\\z)|<title\\b[^>]*>.*?(?:</title\\s*>|\\z)"
+_SHINGLES = _runs("doc_meta", "doc_id", "snippet_text", 3)
+
 SQL: dict[str, str] = {
-    "p6_found": f"""WITH s AS MATERIALIZED ({_runs('doc_meta', 'doc_id', 'snippet_text', 3)}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    # of character references, those that the pages hold
+    "p2_found": f"""WITH h AS (SELECT DISTINCT id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^\\s*[a-zA-Z][a-zA-Z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', '') AS site, html FROM pages WHERE id IS NOT NULL AND html <> ''),
+v AS (SELECT id, site, {_newlines(_HIDDEN, 'html')} AS t FROM h), f AS (SELECT id, site, regexp_replace(t, '</?[a-zA-Z][^>\\n]*>|<[!?][^>\\n]*>', '', 'g') AS t FROM v),
+g AS (SELECT id, site, string_split({_newlines('(?s)</?[a-zA-Z][^>]*(?:>|\\z)|<[!?][^>]*(?:>|\\z)', 't')}, chr(10)) AS t FROM f),
+x AS (SELECT id, site, CAST(unnest(range(len(t))) AS INTEGER) AS line_no, unnest(t) AS t FROM g),
+k AS (SELECT id, site, line_no, regexp_replace(lower(regexp_replace(replace(replace(t, '&eacute;', 'é'), '&#252;', 'ü'), '&(?:rsaquo|nbsp|ndash|amp|middot|copy);', ' ', 'g')), '[^\\p{{L}}]', '', 'g') AS k FROM x),
+n AS (SELECT site, k FROM k WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT id) >= 5)
+SELECT DISTINCT id, line_no FROM k JOIN n USING (site, k)""",
+    "p6_classes": f"""WITH s AS MATERIALIZED ({_SHINGLES}), l AS (SELECT doc_id, list(s ORDER BY s) AS l, count(*) AS n FROM s GROUP BY doc_id),
+c AS MATERIALIZED (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY l) AS class_id FROM l),
+b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY ALL),
+e AS (SELECT u.class_id, count(DISTINCT v.class_id) AS n_links FROM b JOIN c u ON u.doc_id = a JOIN c v ON v.doc_id = b WHERE 2 * k >= u.n + v.n - k AND u.class_id <> v.class_id GROUP BY 1)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN e USING (class_id)""",
+    "p6_found": f"""WITH s AS MATERIALIZED ({_SHINGLES}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL)
 SELECT a AS doc_id_a, b AS doc_id_b FROM b JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 2 * k >= u.n + v.n - k""",
     "p8_found": f"SELECT DISTINCT doc_id, item_id FROM ({_runs('documents', 'doc_id', 'text', 10)}) JOIN ({_runs('benchmark', 'item_id', 'text', 10)}) USING (s)",
