@@ -187,6 +187,10 @@ FROM pages""",
     # of character references, those that titles hold
     "page_title": """WITH p AS (SELECT DISTINCT id, url, regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title', 1) AS t FROM pages)
 SELECT id, coalesce(nullif(trim(replace(replace(replace(t, '&ndash;', '–'), '&eacute;', 'é'), '&#252;', 'ü'), ' '||chr(9)||chr(10)||chr(13)), ''), url) AS title FROM p""",
+    # all targets that the pages hold are whole addresses in double quotes
+    "page_links": f"""WITH p AS (SELECT DISTINCT id, regexp_extract_all(regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\\z)|<script\\b[^>]*>.*?(?:</script\\s*>|\\z)|<style\\b[^>]*>.*?(?:</style\\s*>|\\z)', '', 'g'), '(?is)<a\\s[^>]*?href="([^"]*)"', 1) AS l FROM pages),
+x AS (SELECT id, CAST(unnest(range(len(l))) AS INTEGER) AS pos, trim(unnest(l)) AS href FROM p)
+SELECT id AS from_page_id, pos, {_url('href')} AS to_url FROM x WHERE href <> '' AND NOT regexp_matches(href, '^(?:javascript:|mailto:|#)')""",
     "url_cases": "SELECT url, normal, domain FROM (VALUES ('https://A.com:443/x/#foo', 'https://a.com:443/x', 'a.com:443'), ('http://a.com/p;v=1/?q=2', 'http://a.com/p;v=1?q=2', 'a.com'), "
     "('HTTP://a.com', 'http://a.com/', 'a.com'), ('https://a.com//', 'https://a.com/', 'a.com'), ('http://a.com/a;b;c?x=1#f', 'http://a.com/a?x=1', 'a.com'), ('http://a.com?x=1', 'http://a.com/?x=1', 'a.com'), "
     "('http://U:P@Ho.st/A/B///', 'http://u:p@ho.st/A/B', 'u:p@ho.st'), ('https://a.com/x?', 'https://a.com/x', 'a.com'), ('http://a.com/x/;p', 'http://a.com/x', 'a.com')) AS t(url, normal, domain)",
