@@ -51,6 +51,11 @@ def first_copies(docs: DataFrame) -> DataFrame:
     return docs.join(keep, "doc_id", "left_semi")
 
 
+def stored_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id``, ``snippet_text`` of the documents that an index keeps, which need no postings."""
+    return first_copies(docs).select("doc_id", F.substring("text", 1, text.SNIPPET_STORE).alias("snippet_text"))
+
+
 def analyzed(docs: DataFrame, stemmed: bool) -> DataFrame:
     """Adds ``tokens``: what is indexed of ``text``."""
     words = text.content_tokens(F.col("text"))

@@ -287,12 +287,16 @@ def search_nothing(spark, folder):
     return rt.search(_index(spark, folder), '"to be" or not').results
 
 
+def _texts(spark, folder):
+    return ix.stored_texts(ix.from_documents(table(spark, folder, "documents")))
+
+
 def snippet_hit(spark, folder):
-    return _index(spark, folder).doc_meta.select("doc_id", rt.snippet(F.col("snippet_text"), ["glacier", "reader"]).alias("snippet"))
+    return _texts(spark, folder).select("doc_id", rt.snippet(F.col("snippet_text"), ["glacier", "reader"]).alias("snippet"))
 
 
 def snippet_miss(spark, folder):
-    return _index(spark, folder).doc_meta.select("doc_id", rt.snippet(F.col("snippet_text"), []).alias("snippet"))
+    return _texts(spark, folder).select("doc_id", rt.snippet(F.col("snippet_text"), []).alias("snippet"))
 
 
 def search_page(spark, folder):
