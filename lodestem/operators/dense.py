@@ -157,35 +157,48 @@ def encoded(df: DataFrame, key: str, words: DataFrame, few: int, hot: float = 0.
 def without_repeats(df: DataFrame) -> DataFrame:
     """Rows of integer columns without those that are repeated within a block of a split: what is left of a row delivered
     very many times is a few rows for each split. No shuffle."""
-    names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         count = 0
 
-        def give() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
-            columns = [c.to_numpy() for c in table.columns]
-            h = np.zeros(count, np.uint64)
-            for c in columns:
-                h = (h ^ c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        def hashed(b: pa.RecordBatch) -> np.ndarray:
+            h = np.zeros(b.num_rows, np.uint64)
+            for c in b.columns:
+                h ^= c.to_numpy().astype(np.int64, copy=False).view(np.uint64)
+                h *= np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-            order = np.argsort(h, kind="stable")
-            same = np.ones(max(0, count - 1), bool)
+            return h
+
+        def give() -> Iterator[pa.RecordBatch]:
+            h = np.concatenate([hashed(b) for b in held])
+            seen = np.sort(h)
+            again = np.unique(seen[1:][seen[1:] == seen[:-1]])
+            if not len(again):
+                yield from held
+                return
+            may = np.flatnonzero(again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h)
+            columns = [c.to_numpy()[may] for c in pa.Table.from_batches(held).combine_chunks().columns]
+            order = np.lexsort(columns)
+            same = np.ones(len(may) - 1, bool)
             for c in columns:  # rows are the same if all columns are, not by the hash
                 same &= c[order[1:]] == c[order[:-1]]
-            keep = order[np.r_[True, ~same]]
-            return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
+            keep = np.ones(count, bool)
+            keep[may[order[1:][same]]] = False
+            at = 0
+            for b in held:
+                yield b.filter(pa.array(keep[at : at + b.num_rows]))
+                at += b.num_rows
 
         for b in batches:
             if b.num_rows:
                 held.append(b)
                 count += b.num_rows
             if count > FLUSH_KEYS:
-                yield give()
+                yield from give()
                 held, count = [], 0
         if held:
-            yield give()
+            yield from give()
 
     return df.mapInArrow(run, df.schema)
 
