@@ -26,6 +26,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -89,7 +90,7 @@ def page_paths(source: str, site: str) -> tuple[int, int, dict[str, list[int]]]:
             signs.append(_key(sign, seed ^ _ODD)), keys.append(_key(keys[up] if up >= 0 else seed, sign) + 1 & _MASK), parents.append(up)
         return got
 
-    row: dict[str, list[int]] = {c: [] for c in _PLACES}
+    found: list[tuple[int, ...]] = []
     longest, identity = -1, 0
     for (line, block), (text, linked) in places.items():
         share = linked / len(text)
@@ -100,19 +101,20 @@ def page_paths(source: str, site: str) -> tuple[int, int, dict[str, list[int]]]:
         mark = xxhash.xxh64_intdigest(letters) or 1 if letters else 0
         if len(text) > longest:
             longest, identity = len(text), mark
-        k = element(block)
-        up = parents[k]
-        over = parents[up] if up >= 0 else -1
-        values = (line, k, _signed(keys[k]), _signed(keys[up]) if up >= 0 else 0, _signed(keys[over]) if over >= 0 else 0, _signed(signs[k]), _signed(mark), len(text), len(_MARKS.findall(text)), round(share * len(text)))
-        for c, v in zip(row.values(), values):
-            c.append(v)
+        found.append((line, at.get(block) or element(block), mark if mark < 1 << 63 else mark - (1 << 64), len(text), len(_MARKS.findall(text)), round(share * len(text)) if share else 0))
+    line, block, letters, chars, marks, linked = map(list, zip(*found)) if found else ([], [], [], [], [], [])
+    own = [_signed(x) for x in keys]
+    last = [_signed(x) for x in signs]
+    up = [own[p] if p >= 0 else 0 for p in parents]
+    over = [up[p] if p >= 0 else 0 for p in parents]
+    row = {"line": line, "block": block, "path": [own[k] for k in block], "up": [up[k] for k in block], "over": [over[k] for k in block], "last": [last[k] for k in block], "letters": letters, "chars": chars, "marks": marks, "linked": linked}
     title = xxhash.xxh64_intdigest(markup.letters(markup.title_of(source)))
-    return _signed(_key(identity, title)), _signed(title), {"parent": parents, "element": [_signed(x) for x in keys], **row}
+    return _signed(_key(identity, title)), _signed(title), {"parent": parents, "element": own, **row}
 
 
 def _lists(rows: list[list[int]], kind: pa.DataType) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter((x for r in rows for x in r), kind.to_pandas_dtype(), offsets[-1])))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(rows), kind.to_pandas_dtype(), offsets[-1])))
 
 
 def _parsed(pages: DataFrame, texts: bool = False) -> DataFrame:
