@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestem.sources.staging import staged
+from lodestem.sources.staging import staged, staging_area
 
 #: Words of a shingle and least Jaccard similarity where a caller states none.
 WORDS, SIMILARITY = 5, 0.8
@@ -112,6 +112,8 @@ class _PlainWords:
 #: A shingle is a hash of this many bits: the rest of a 64-bit word numbers the texts of a batch.
 BITS = 55
 _MASK = np.uint64((1 << BITS) - 1)
+#: Of a cell only these high bits are kept: two cells that agree in them are one, which gives candidates that are no cases.
+_CELL = np.uint64((1 << 64) - (1 << 16))
 
 
 class Form(NamedTuple):
@@ -226,22 +228,25 @@ def _counts(texts: DataFrame, form: Form) -> DataFrame:
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles, at most ``ORDERED``, in order, and their counts."""
-    totals = staged(counted.groupBy("a").agg(F.sum("b").alias("n")))
-    least, held = 0, 0
-    for r in totals.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
-        held += r["k"]
-        if held > ORDERED:
-            least = r["n"]
-            break
-    top = totals.where(F.col("n") > least).toPandas()
+    with staging_area():
+        totals = staged(counted.groupBy("a").agg(F.sum("b").alias("n")))
+        least, held = 0, 0
+        for r in totals.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
+            held += r["k"]
+            if held > ORDERED:
+                least = r["n"]
+                break
+        top = totals.where(F.col("n") > least).toPandas()
     keys, counts = top["a"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
     order = np.argsort(keys)
     return keys[order], counts[order]
 
 
 def _prefixes(texts: DataFrame, form: Form, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``cell``, ``sign``, ``place``: the prefix of each class (a row of ``texts``). ``place`` holds
-    the set's size, the shingle's rank and a side, from high to low bits, so that it sorts by size.
+    """``cell``, ``place``, ``sign``: the prefix of each class (a row of ``texts``). ``place`` holds
+    the set's size, a side and the shingle's rank, from high to low bits, so that it sorts by size.
+    What differs from row to row of a text, the cell's high bytes and the rank's low ones, lies side by side: the
+    rest is told by the row before when a shuffle is compressed.
 
     A cell is a shingle. One counted more than ``SPLIT`` times is cut: its classes fall into parts, each pair of parts
     is a cell of its own, and the side tells the two (1, 2) apart; 0 where all pairs of a cell count.
@@ -279,11 +284,13 @@ def _prefixes(texts: DataFrame, form: Form, similarity: float, common: tuple[np.
                     own = (_mix(sign) % parts.astype(np.uint64)).astype(np.int64)
                     side = np.where(own == other, 0, np.where(own < other, 1, 2))
                     pair = (np.minimum(own, other) << 31 | np.maximum(own, other)).astype(np.uint64) + np.uint64(1)
-                    cell = np.where(parts > 1, _mix(cell ^ _mix(pair)), cell)
-                place = size << 34 | rank << 2 | side
-                yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(sign.view(np.int64)), pa.array(place)], names=["cell", "sign", "place"])
+                    cell = np.where(parts > 1, _mix(cell ^ _mix(pair)), cell << np.uint64(64 - BITS))
+                else:
+                    cell = cell << np.uint64(64 - BITS)
+                place = size << 34 | side << 32 | rank
+                yield pa.RecordBatch.from_arrays([pa.array((cell & _CELL).view(np.int64)), pa.array(place), pa.array(sign.view(np.int64))], names=["cell", "place", "sign"])
 
-    return texts.select("text").mapInArrow(run, "cell long, sign long, place long")
+    return texts.select("text").mapInArrow(run, "cell long, place long, sign long")
 
 
 def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
@@ -293,7 +300,7 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
 
     def give(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         """Pairs within whole cells: each class with the not smaller ones of its cell within the bound on length."""
-        v, sign, place = columns
+        v, place, sign = columns
         alike = v[1:] == v[:-1]
         shared = np.r_[alike, False] | np.r_[False, alike] if len(v) else np.empty(0, bool)
         v, sign, place = v[shared], sign[shared], place[shared]
@@ -303,7 +310,7 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
         v, sign, place = v[order], sign[order], place[order]
         own = np.r_[True, v[1:] != v[:-1]]
         group = (np.cumsum(own) - 1) << 32
-        size, rank, side = place >> 34, place >> 2 & 0xFFFFFFFF, place & 3
+        size, rank, side = place >> 34, place & 0xFFFFFFFF, place >> 32 & 3
         width = np.searchsorted(group + size, group + np.floor(size / similarity + 1e-9).astype(np.int64), "right") - np.arange(len(size)) - 1
         total = np.cumsum(width)
         x = 0
@@ -315,7 +322,7 @@ def _met(prefixes: DataFrame, similarity: float) -> DataFrame:
             x = y
             need = np.ceil(share * (size[i] + size[j]) - 1e-9)
             ok = np.minimum(size[i] - rank[i], size[j] - rank[j]) >= need - (SHARED - 1)
-            ok &= (side[i] == 0) | (side[i] != side[j])
+            ok &= ((side[i] == 0) | (side[i] != side[j])) & (sign[i] != sign[j])
             i, j, need = i[ok], j[ok], need[ok]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(sign[i], sign[j])), pa.array(np.maximum(sign[i], sign[j])), pa.array(np.minimum(need, SHARED).astype(np.int8))], names=["a", "b", "need"])

@@ -161,6 +161,34 @@ def test_prefixes_do_not_grow_with_copies_or_tasks(spark):
     assert len(seen) == 1 and next(iter(seen))[0] == 3
 
 
+def test_prefixes_are_narrow_in_a_shuffle(spark):
+    """What differs between two prefix rows of a text is a few bytes, side by side (14.4 bytes a row when it was not)."""
+    rng = random.Random(4)
+    rows = docs(spark, [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(200))) for i in range(200)])
+    sc = spark.sparkContext
+    store = sc._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return [sum(getattr(stages.apply(i), f"shuffleWrite{x}")() for i in range(stages.size())) for x in ("Bytes", "Records")]
+
+    prefixes = near._prefixes(rows, near.Form(3), 0.5, near._frequent(near._counts(rows, near.Form(3))))
+    before = written()
+    assert near._met(prefixes, 0.5).count() == 0
+    size, count = (y - x for x, y in zip(before, written()))
+    assert 20_600 <= count < 20_700 and size < 13.7 * count
+
+
+def test_cells_that_agree_by_chance_give_no_pair(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(near, "_CELL", np.uint64(0xF << 60))
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(12))) for i in range(60)]
+    got = [(r["id_a"], r["id_b"]) for r in near.similar_pairs(docs(spark, rows), "doc_id", "text", near.Form(1), 0.7).collect()]
+    assert len(got) == len(set(got)) and set(got) == similar(rows, 1, 0.7)
+
+
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aB1 -é\u212aß\n_", max_size=30)), max_size=12), st.sampled_from([8, 1 << 20]))
 @settings(max_examples=60, deadline=None)
 def test_plain_words(texts, at_once):
