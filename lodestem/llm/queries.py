@@ -20,7 +20,7 @@ def p1_frequencies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return sitelines.repeated_lines(table(spark, folder, "pages"), near_pages=None).where("exact").select("id", "line_no")
+    return sitelines.same_lines(table(spark, folder, "pages"))
 
 
 def p2_clean(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,16 +3,21 @@
 Lines are masked and clustered within their site by locality-sensitive hashing, and clusters that stand on many
 distinct pages are found. Two forms of each line are clustered:
 
-* its letters alone (numbers, dates in digits, signs and markup masked away). Equal forms have equal signatures, so a
-  cluster holds every line of the same letters; a line is ``exact`` if its own letters stand on ``min_pages`` pages.
+* its letters alone (numbers, dates in digits, signs and markup masked away). :func:`same_lines` clusters them in
+  ``LETTER_BANDS`` bands of ``LETTER_ROWS`` MinHash rows over their 5-grams (similarity 0.9 meets with 96 %, 0.8 with 79 %,
+  equal letters always). The lines of a cluster on ``min_pages`` pages are candidates; of these a line is found if its own
+  letters stand on so many pages. Names and months are not masked here: they are told by case and by word, which lines of
+  the same letters need not share.
 * its words with names (runs of capitalised words) and month names masked too: its form. Only a line of ``LEAST_WORDS``
   distinct words left, which hold at least ``SHARE`` of its letters, has one; so lines of like forms agree in most of
   their letters. Forms of one site are like if their sets of words have Jaccard similarity ``SIMILARITY``; they meet in
   ``BANDS`` bands of ``ROWS`` MinHash rows each (similarity 0.8 meets with 99.8 %, 0.7 with 96 %), are verified on the
   words, and joined to clusters over their links. A line is ``near`` if its cluster stands on ``near_pages`` pages.
+  :func:`repeated_lines` and :func:`clean_pages` take these, and as ``exact`` a plain count of equal letters.
 
-An exact cluster met on enough pages within one block of a task is decided there: its lines leave the task as found, and
-one row goes on to tell other tasks. So a notice on a third of all pages reaches the shuffle as one row for each block. Exact sub-clusters of one signature are spread over ``SPREAD`` groups.
+Letters met on enough pages within one block of a task are decided there: their lines leave the task as found, and one row
+goes on to tell other tasks. So a notice on a third of all pages reaches the shuffle as one row for each block. The same
+holds for a cluster of letters. In the plain count the letters of one signature are spread over ``SPREAD`` groups.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import types as T
 
 from lodestem.llm import markup
 from lodestem.llm.groups import reduce_sorted
-from lodestem.llm.minhash import signatures
+from lodestem.llm.minhash import banded, signatures
 from lodestem.llm.near import connected
 from lodestem.sources.staging import staged
 
@@ -43,7 +48,9 @@ ORDERED_BY = 20_000
 BROADCAST_KEYS = 2_000_000
 #: Lines held by a task before it passes on what it has.
 BLOCK_LINES = 400_000
-EXACT, NEAR, DECIDED, TOLD = 0, 1, 2, 3
+EXACT, NEAR, DECIDED, TOLD, CANDIDATE, MEMBER, CLUSTER = range(7)
+#: MinHash bands, and rows of a band, that the letters of lines meet in.
+LETTER_BANDS, LETTER_ROWS = 3, 4
 #: Distinct words and share of the line's letters that masking has to leave for a line to have a form.
 LEAST_WORDS, SHARE = 4, 2 / 3
 #: Forms of this Jaccard similarity of words are like; MinHash bands and rows of a band that let them meet.
@@ -99,16 +106,35 @@ def _forms(sites: list[str], letters: list[str], texts: list[str]) -> tuple[np.n
     return keys, words
 
 
+def _clusters(buckets: np.ndarray, own: np.ndarray, ids: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """Whether each line of a block is in a cluster that stands on enough pages within it, and rows to tell other blocks
+    by: one of each such cluster, the members of the others. ``buckets``: of each line, for each band."""
+    many = np.zeros(len(own), bool)
+    rows = []
+    for of_line in buckets:
+        order = np.lexsort((ids, of_line[at]))
+        line, page = at[order], ids[order]
+        bucket = of_line[line]
+        new = np.r_[True, bucket[1:] != bucket[:-1]]
+        pages = np.bincount(np.cumsum(new) - 1, weights=new | np.r_[True, page[1:] != page[:-1]])
+        told = (pages >= least)[np.cumsum(new) - 1]
+        many[line[told]] = True
+        for chosen, state in ((told & new, CLUSTER), (~told, MEMBER)):
+            rows.append([bucket[chosen].view(np.int64), own[line[chosen]].view(np.int64), page[chosen], np.full(chosen.sum(), -1, np.int32), np.full(chosen.sum(), state, np.int8)])
+    return many, rows
+
+
 def _block(sites: list[str], keys: list[str], texts: list[str], where: list[list[tuple[int, int]]], least: int, near: bool) -> list[pa.Array]:
     """Rows (group, key, id, line_no, state, words) of one block: distinct (site, letters) with their places. Only
-    near rows have words, and of the rows of a form only the first."""
+    near rows have words, and of the rows of a form only the first. Without ``near``, rows of clusters of letters."""
     seeds = np.array([xxhash.xxh64_intdigest(s) for s in sites], np.uint64)
     own = np.array([xxhash.xxh64_intdigest(k) for k in keys], np.uint64) ^ seeds
-    exact = signatures(keys) ^ seeds
+    group = (signatures(keys) ^ seeds) + own % np.uint64(SPREAD) if near else own
     sizes = np.array([len(w) for w in where])
     ids = np.fromiter((i for w in where for i, _ in w), np.int64, sizes.sum())
     lines = np.fromiter((n for w in where for _, n in w), np.int32, sizes.sum())
-    k, g = np.repeat(own, sizes).view(np.int64), np.repeat(exact + (own % np.uint64(SPREAD)), sizes).view(np.int64)
+    k, g = np.repeat(own, sizes).view(np.int64), np.repeat(group, sizes).view(np.int64)
+    at = np.repeat(np.arange(len(sizes)), sizes)
     order = np.lexsort((lines, ids, k))
     a, b, c, d = k[order], g[order], ids[order], lines[order]
     first_key = np.r_[True, a[1:] != a[:-1]]
@@ -118,11 +144,17 @@ def _block(sites: list[str], keys: list[str], texts: list[str], where: list[list
     decided = pages[of] >= least
     told = decided & first_key
     open_ = ~decided
+    state = np.full(len(order), EXACT, np.int8)
+    clusters: list[list[np.ndarray]] = []
+    if not near:
+        many, clusters = _clusters(banded(keys, LETTER_BANDS, LETTER_ROWS) ^ seeds, own, ids, at, least)
+        state[many[at[order]]] = CANDIDATE
     spread = c[decided] * np.int64(-7046029254386353131)  # anywhere, but one place for a page
     rows = [
-        [b[open_], a[open_], c[open_], d[open_], np.full(open_.sum(), EXACT, np.int8)],
+        [b[open_], a[open_], c[open_], d[open_], state[open_]],
         [b[told], a[told], c[told], np.full(told.sum(), -1, np.int32), np.full(told.sum(), TOLD, np.int8)],
         [spread, a[decided], c[decided], d[decided], np.full(decided.sum(), DECIDED, np.int8)],
+        *clusters,
     ]
     words: list[np.ndarray] = []
     if near:
@@ -130,7 +162,6 @@ def _block(sites: list[str], keys: list[str], texts: list[str], where: list[list
         has = np.array([w is not None for w in of_form])
         _, first = np.unique(forms, return_index=True)
         first = first[has[first]]
-        at = np.repeat(np.arange(len(sizes)), sizes)
         begin = np.cumsum(sizes) - sizes
         told_at = begin[first]  # the first place of each form's first line
         place = np.flatnonzero(has[at])
@@ -316,20 +347,47 @@ def _decided(rows: DataFrame, min_pages: int, out: list[str]) -> DataFrame:
     return reduce_sorted(rows.where(F.col("state") != NEAR).drop("words"), "group", keep, out)
 
 
-def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, near_pages: int | None = NEAR_PAGES) -> DataFrame:
+def _candidates(rows: DataFrame, min_pages: int) -> DataFrame:
+    """``key`` of the letters that, by all blocks, are in a cluster on enough pages; staged."""
+
+    def many(t: dict[str, np.ndarray]) -> np.ndarray:
+        order = np.lexsort((t["id"], t["group"]))
+        group, ids = t["group"][order], t["id"][order]
+        new = np.r_[True, group[1:] != group[:-1]]
+        of = np.cumsum(new) - 1
+        pages = np.bincount(of, weights=new | np.r_[True, ids[1:] != ids[:-1]])
+        told = np.bincount(of, weights=t["state"][order] == CLUSTER) > 0
+        wanted = np.empty(len(order), bool)
+        wanted[order] = ((pages >= min_pages) | told)[of]
+        return wanted & (t["state"] == MEMBER)
+
+    members = rows.where(F.col("state").isin(MEMBER, CLUSTER)).select("group", "key", "id", "state")
+    return staged(reduce_sorted(members, "group", many, ["key"]).distinct())
+
+
+def same_lines(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``id``, ``line_no``: lines whose letters stand on ``min_pages`` distinct pages of their site. Clusters of letters on so
+    many pages give the candidates, and a count of equal letters decides among them. Pages and lines as in
+    :func:`repeated_lines`."""
+    rows = staged(_rows(pages, min_pages, False))
+    keys = _candidates(rows, min_pages)
+    told = rows.where(F.col("state") == EXACT).join(keys, "key", "left_semi").select(*_COLUMNS)
+    found = _decided(rows.where(F.col("state").isin(CANDIDATE, TOLD)).unionByName(told), min_pages, ["id", "line_no"])
+    return found.unionByName(rows.where(F.col("state") == DECIDED).select("id", "line_no")).distinct()
+
+
+def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, near_pages: int = NEAR_PAGES) -> DataFrame:
     """``id``, ``line_no``, ``exact``: lines of clusters on many pages of their site; ``exact`` if the line's own
-    letters stand on ``min_pages`` distinct pages. Without ``near_pages`` only such lines.
+    letters stand on ``min_pages`` distinct pages.
 
     Repeated rows of an id are one page. Null or empty pages have no lines; a null URL is a site of its own; lines
     without letters belong to no cluster.
     """
-    rows = _rows(pages, min_pages, near_pages is not None)
-    rows = rows if near_pages is None else staged(rows)
+    rows = staged(_rows(pages, min_pages, True))
     found = _decided(rows, min_pages, ["id", "line_no"]).withColumn("exact", F.lit(True))
-    if near_pages is not None:
-        places = rows.where(F.col("state") == NEAR)
-        near = places.drop("words").join(_near_forms(places, near_pages), "key").select("id", "line_no", F.lit(False).alias("exact"))
-        found = found.unionByName(near)
+    places = rows.where(F.col("state") == NEAR)
+    near = places.drop("words").join(_near_forms(places, near_pages), "key").select("id", "line_no", F.lit(False).alias("exact"))
+    found = found.unionByName(near)
     return found.groupBy("id", "line_no").agg(F.max("exact").alias("exact"))
 
 
